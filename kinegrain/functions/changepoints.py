@@ -32,26 +32,26 @@ def pelt(cost: Cost, penalty: float, min_size: int = 5, jump: int = 1) -> list[i
     """Least cost plus ``penalty`` per boundary, with starts dropped once they can't win any more."""
     n = cost.n
     ends = [e for e in range(jump, n, jump) if e >= min_size] + ([n] if n >= min_size else [])
-    best = {0: -penalty}
-    back: dict[int, int] = {}
-    live = np.array([0])
-    doomed: list[tuple[int, int]] = []  # a beaten start still serves ends closer than min_size to the one that beat it
+    best = np.full(n + 1, np.inf)
+    best[0] = -penalty
+    back = np.full(n + 1, -1)
+    # a beaten start still serves ends closer than min_size to the one that beat it
+    until = np.full(n + 1, n + 1)
+    known = np.zeros(n + 1, bool)
+    known[0] = True
     for e in ends:
-        gone = {s for at, s in doomed if at <= e}
-        if gone:
-            live = np.array([s for s in live if s not in gone], dtype=int)
-            doomed = [(at, s) for at, s in doomed if s not in gone]
-        able = live[live <= e - min_size]
-        if len(able):
-            own = np.array([best[s] for s in able]) + cost(able, e)
-            k = int(np.argmin(own))
-            best[e], back[e] = own[k] + penalty, int(able[k])
-            marked = {s for _, s in doomed}
-            doomed += [(e + min_size, int(s)) for s in able[own > best[e]] if int(s) not in marked]
-            live = np.append(live, e)
+        last = e - min_size + 1
+        able = np.flatnonzero(known[:last] & (until[:last] > e))
+        if not len(able):
+            continue
+        own = best[able] + cost(able, e)
+        k = int(np.argmin(own))
+        best[e], back[e], known[e] = own[k] + penalty, able[k], True
+        beaten = able[own > best[e]]
+        until[beaten] = np.minimum(until[beaten], e + min_size)
     out, e = [], n
-    while e in back:
-        e = back[e]
+    while back[e] >= 0:
+        e = int(back[e])
         if e:
             out.append(e)
     return sorted(out)

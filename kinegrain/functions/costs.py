@@ -34,8 +34,23 @@ class L2(Cost):
 class L1(Cost):
     """Absolute distance to the median."""
 
+    #: Series up to this length keep their prices: a sweep of penalties asks for the same ones again.
+    KEPT = 2000
+
+    def __init__(self, x):
+        super().__init__(x)
+        self.known: dict[int, np.ndarray] = {}
+
+    def _price(self, start: int, end: int) -> float:
+        return float(np.abs(self.x[start:end] - np.median(self.x[start:end], axis=0)).sum())
+
     def __call__(self, starts, end):
-        return np.array([np.abs(self.x[a:end] - np.median(self.x[a:end], axis=0)).sum() for a in starts])
+        if self.n > self.KEPT:
+            return np.array([self._price(a, end) for a in starts])
+        own = self.known.setdefault(end, np.full(end, np.nan))
+        for a in starts[np.isnan(own[starts])]:
+            own[a] = self._price(a, end)
+        return own[starts]
 
 
 class Kernel(Cost):

@@ -24,6 +24,11 @@ from kinegrain.functions.signals import Model, lowpass, rotation_to_quat
 LONGEST = 20_000
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """By recording, over all of the shuffle's partitions: the kernels' time isn't in their input's bytes, by which the engine would merge partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _per_recording(df: DataFrame, key: str, order: str, vector: str, make: Callable[[np.ndarray], list[dict]], columns: str, longest: int = LONGEST) -> DataFrame:
     """``make`` turns a recording's (T, D) matrix into rows; adds key, status, error and runtime_s."""
     names = [c.split()[0] for c in columns.split(", ")]
@@ -42,7 +47,7 @@ def _per_recording(df: DataFrame, key: str, order: str, vector: str, make: Calla
 
     kind = df.schema[key].dataType.simpleString()
     small = df.select(key, order, vector)
-    out = small.groupBy(key).applyInPandas(run, f"__key {kind}, {columns}, status string, error string, runtime_s double")
+    out = _spread(small, key).groupBy(key).applyInPandas(run, f"__key {kind}, {columns}, status string, error string, runtime_s double")
     return out.withColumnRenamed("__key", key)
 
 
@@ -98,7 +103,7 @@ def lowpass_series(df: DataFrame, key: str, order: str, column: str, rate: float
             y, error = np.full(len(x), np.nan), str(e)
         return pd.DataFrame({"__key": pdf[key], "__order": pdf[order], "smoothed": y, "error": error})
 
-    out = df.select(key, order, column).groupBy(key).applyInPandas(run, f"__key {kind}, __order {okind}, smoothed double, error string")
+    out = _spread(df.select(key, order, column), key).groupBy(key).applyInPandas(run, f"__key {kind}, __order {okind}, smoothed double, error string")
     return out.withColumnRenamed("__key", key).withColumnRenamed("__order", order)
 
 

@@ -8,6 +8,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# What separates words, and lines.
+BLANK = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 LABELS = ("intro", "body", "conclusion")
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
@@ -51,7 +53,8 @@ def segment_texts(df: DataFrame, key: str, text: str, seed: int = 42, per_row: b
     import pandas as pd
 
     kind = df.schema[key].dataType.simpleString()
-    n = F.when(F.trim(F.col(text)) == "", 0).otherwise(F.size(F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " ")))
+    words = F.trim(F.regexp_replace(F.col(text), BLANK, " "))
+    n = F.when(words == "", 0).otherwise(F.size(F.split(words, " ")))
     counts = df.select(F.col(key).alias("__key"), F.coalesce(n, F.lit(0)).alias("__n"))
 
     def rows(pdf: pd.DataFrame, shared: random.Random | None) -> pd.DataFrame:
