@@ -18,7 +18,8 @@ SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each label and day."""
-    return percentiles(duration_sketches(table(spark, sf_dir, "segments")), ["label", "run_date"], QUANTILES)
+    p = percentiles(duration_sketches(table(spark, sf_dir, "segments")), ["label", "run_date"], QUANTILES)
+    return p.withColumn("run_date", F.col("run_date").cast("string"))
 
 
 def p1_label_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +73,5 @@ _P = ", ".join(f"quantile_disc(duration, {q}) AS p{round(q * 100)}" for q in QUA
 SQL = {
     "p1_percentiles": f"""WITH s AS (SELECT segment_id, lower(trim(label)) AS label, run_date, duration FROM segments WHERE segment_id IS NOT NULL AND duration IS NOT NULL AND NOT isnan(duration)),
   one AS (SELECT DISTINCT * FROM s)
-SELECT label, run_date, count(*) AS n, {_P}, CAST(0 AS DOUBLE) AS rank_error FROM one GROUP BY 1, 2""",
+SELECT label, CAST(run_date AS VARCHAR) AS run_date, count(*) AS n, {_P}, CAST(0 AS DOUBLE) AS rank_error FROM one GROUP BY 1, 2""",
 }
