@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 
 
@@ -41,16 +43,38 @@ class L1(Cost):
         super().__init__(x)
         self.known: dict[int, np.ndarray] = {}
 
-    def _price(self, start: int, end: int) -> float:
-        return float(np.abs(self.x[start:end] - np.median(self.x[start:end], axis=0)).sum())
+    def _column(self, end: int) -> np.ndarray:
+        """Prices of all segments that stop at ``end``, growing them backwards: two heaps hold the halves around the median."""
+        out = np.zeros(end)
+        for v in self.x[:end].T.tolist():
+            low: list[float] = []
+            high: list[float] = []
+            below = above = 0.0
+            for a in range(end - 1, -1, -1):
+                y = v[a]
+                if low and y <= -low[0]:
+                    heappush(low, -y)
+                    below += y
+                else:
+                    heappush(high, y)
+                    above += y
+                if len(low) > len(high) + 1:
+                    y = -heappop(low)
+                    heappush(high, y)
+                    below, above = below - y, above + y
+                elif len(high) > len(low):
+                    y = heappop(high)
+                    heappush(low, -y)
+                    below, above = below + y, above - y
+                out[a] += above - below + (-low[0] if len(low) > len(high) else 0.0)
+        return out
 
     def __call__(self, starts, end):
         if self.n > self.KEPT:
-            return np.array([self._price(a, end) for a in starts])
-        own = self.known.setdefault(end, np.full(end, np.nan))
-        for a in starts[np.isnan(own[starts])]:
-            own[a] = self._price(a, end)
-        return own[starts]
+            return self._column(end)[starts]
+        if end not in self.known:
+            self.known[end] = self._column(end)
+        return self.known[end][starts]
 
 
 class Kernel(Cost):

@@ -23,7 +23,6 @@ def graphical_lasso(s: np.ndarray, lam: float, blocks: int, rho: float = 1.0, ro
     n = len(s)
     d = n // blocks
     z, u = np.eye(n), np.zeros((n, n))
-    lag = np.abs(np.subtract.outer(np.arange(n) // d, np.arange(n) // d))
     for _ in range(rounds):
         val, vec = np.linalg.eigh(rho * (z - u) - s)
         theta = (vec * ((val + np.sqrt(val**2 + 4 * rho)) / (2 * rho))) @ vec.T
@@ -46,7 +45,6 @@ def graphical_lasso(s: np.ndarray, lam: float, blocks: int, rho: float = 1.0, ro
         u = u + theta - z
         if change < tol:
             break
-    del lag
     val, vec = np.linalg.eigh(z)
     return (vec * np.maximum(val, 1e-3)) @ vec.T
 
@@ -68,6 +66,22 @@ def switch_path(cost: np.ndarray, beta: float) -> np.ndarray:
     return out
 
 
+def start_labels(h: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """Nearest of k means, the first guesses being the points farthest from those before."""
+    mid = [h[int(np.argmin(((h - h.mean(axis=0)) ** 2).sum(axis=1)))]]
+    while len(mid) < k:
+        mid.append(h[int(np.argmax(np.min([((h - m) ** 2).sum(axis=1) for m in mid], axis=0)))])
+    centres = np.array(mid)
+    label = np.full(len(h), -1)
+    for _ in range(rounds):
+        new = np.argmin(((h[:, None] - centres[None]) ** 2).sum(axis=2), axis=1)
+        if np.array_equal(new, label):
+            break
+        label = new
+        centres = np.array([h[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(k)])
+    return label
+
+
 def cluster_windows(x: np.ndarray, k: int, config: PrimitiveConfig) -> np.ndarray:
     """One label per frame of ``x`` (T, D)."""
     t, d = x.shape
@@ -75,7 +89,7 @@ def cluster_windows(x: np.ndarray, k: int, config: PrimitiveConfig) -> np.ndarra
     if t - w + 1 < 2 * k:
         raise ValueError("too few windows for the clusters")
     h = np.lib.stride_tricks.sliding_window_view(x, w, axis=0).transpose(0, 2, 1).reshape(t - w + 1, w * d)
-    label = np.minimum(np.arange(len(h)) * k // len(h), k - 1)
+    label = start_labels(h, k)
     rng = np.random.default_rng(config.seed)
     for _ in range(config.max_iter):
         cost = np.zeros((len(h), k))

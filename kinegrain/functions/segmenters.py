@@ -108,12 +108,13 @@ def stray(x: np.ndarray, k: int = 10, alpha: float = 0.01, share: float = 0.5) -
     order = np.argsort(score, kind="stable")
     s = score[order]
     gaps = np.diff(s, prepend=s[0])
-    first = int(n * share)
     odd = np.zeros(n, bool)
-    for i in range(max(1, first), n):
-        ghost = gaps[max(0, i - 50) : i]
-        limit = math.log(1 / alpha) * ghost.mean() if len(ghost) else 0.0
-        if gaps[i] > max(limit, 1e-12):
+    back = max(min(50, n // 4), 2)
+    weight = np.arange(2, back + 1) / (back - 1)
+    for i in range(max(int(n * share), back), n):
+        # spacings of an exponential tail: the expected next gap from the weighted ones before it
+        expected = (weight * gaps[i - np.arange(2, back + 1) + 1]).sum()
+        if gaps[i] > max(math.log(1 / alpha) * expected, 1e-12):
             odd[order[i:]] = True
             break
     return label_changes(odd)
