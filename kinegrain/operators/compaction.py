@@ -38,9 +38,14 @@ def _summary(df: DataFrame, keys: list[str], weight: str | None) -> tuple[int, i
     return int(row["n"] or 0), int(row["h"] or 0)
 
 
+UNKNOWN_BYTES = 1 << 60
+MOST_RANGES = 100_000
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Size of the files that ``df`` reads, as the planner knows it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of the files that ``df`` reads, as the planner knows it; else rows times the width of their types."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < UNKNOWN_BYTES else df.count() * int(df._jdf.schema().defaultSize())
 
 
 def compact(df: DataFrame, keys: list[str], file_id: str, target: str, total_bytes: int | None = None, target_bytes: int = 128 << 20) -> DataFrame:
@@ -54,7 +59,7 @@ def compact(df: DataFrame, keys: list[str], file_id: str, target: str, total_byt
     if clash:
         raise ValueError(f"columns {sorted(clash)} are made here")
     total = total_bytes if total_bytes is not None else input_bytes(df)
-    ranges = max(1, math.ceil(total / target_bytes))
+    ranges = min(MOST_RANGES, max(1, math.ceil(total / target_bytes)))
     rest = [x for x in df.columns if x not in keys]
     unnamed = F.lit(False)
     for k in keys:

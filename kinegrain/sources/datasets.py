@@ -173,7 +173,7 @@ def _count(spark: SparkSession, s: DatasetSchema, info: dict) -> int:
 
 
 def _id_of_file(path: str):
-    m = re.search(r"episode_(.+)\.parquet$", path)
+    m = re.match(r"episode_(.+)\.parquet$", path.rsplit("/", 1)[-1])
     return (int(m[1]) if m[1].isdigit() else m[1]) if m else None
 
 

@@ -75,5 +75,5 @@ def segment_texts(df: DataFrame, key: str, text: str, seed: int = 42, per_row: b
         return rows(pdf.sort_values("__key", kind="stable"), random.Random(seed))
 
     schema = f"__key {kind}, {SEGMENTS}"
-    made = counts.mapInPandas(spread, schema) if per_row else counts.groupBy(F.lit(1)).applyInPandas(ordered, schema)
+    made = counts.mapInPandas(spread, schema) if per_row else counts.withColumn("__g", F.lit("all")).groupBy("__g").applyInPandas(ordered, schema)
     return made.withColumnRenamed("__key", key)
