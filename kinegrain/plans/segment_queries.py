@@ -15,6 +15,7 @@ from kinegrain.operators import labeling as L
 from kinegrain.operators import report as R
 from kinegrain.operators.clusters import cluster_sizes, mean_pool, representatives, silhouettes, transitions
 from kinegrain.operators.sampling import linspace_sample, systematic_sample
+from kinegrain.operators.trajectory import detect_boundaries, segment_trajectories
 from kinegrain.plans.pipeline import pipeline_boundaries, pipeline_summary as summarise
 from kinegrain.plans.series_queries import E, EV, MERGED, SEGS, joints, merged, rounded, rules, segments, trajectories
 from kinegrain.sources.tables import table
@@ -118,6 +119,20 @@ def summary_sections(spark, d):
     return R.summary_sections(R.rename_for_report(labelled(spark, d)), E).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
+SCALED = {"min_segment_duration_s": 20000.0, "hysteresis_duration_s": 20000.0, "stop_speed_threshold": 0.015, "speed_change_threshold": 0.075}
+
+
+@query()
+def hybrid_boundaries(spark, d):
+    """Rules and change-points of posed trajectories together."""
+    return R.boundary_strings(detect_boundaries(_posed(spark, d), "episode", "frame", L.task_profile("charger_insertion", **SCALED)), E)
+
+
+@query()
+def hybrid_segments(spark, d):
+    return segment_trajectories(_posed(spark, d), "episode", "frame", L.task_profile("charger_insertion", **SCALED))
+
+
 # ---- evaluation ------------------------------------------------------------------------------
 
 # reference boundaries: changes of the event type into 'error' or 'purchase'

@@ -86,3 +86,28 @@ def test_contract(spark):
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and len(q) > 60
     assert e.entry(spark).count() > 0
+
+
+def test_command_line(spark, tmp_path):
+    from kinegrain.cli import main
+
+    (tmp_path / "t.txt").write_text("one two three\n\nfour five\n")
+    assert main(["text", "--dataset-path", str(tmp_path / "t.txt"), "--output", str(tmp_path / "o.json")]) == 0
+    assert [r["num_segments"] >= 1 for r in json.loads((tmp_path / "o.json").read_text())] == [True, True]
+    assert main(["text", "--dataset-path", str(tmp_path / "t.txt"), "--output", str(tmp_path / "o.csv")]) == 0
+    assert main(["text", "--dataset-path", str(tmp_path / "t.txt"), "--output", str(tmp_path / "o.xml")]) == 1
+    root = make(spark, tmp_path / "ds", "shared")
+    assert main(["dataset", "--dataset", root, "--n-episodes", "2", "--modalities", "joint", "ablation", "cartesian", "--output", str(tmp_path / "out")]) == 0
+    text = (tmp_path / "out/report.md").read_text()
+    assert "ablation is joint_command" in text and "skipped" in text and (tmp_path / "out/boundaries_joint.csv").exists()
+    assert json.loads((tmp_path / "out/selected_episode_ids.json").read_text())["num_selected"] == 2
+
+
+def test_configurations(tmp_path):
+    from kinegrain import config as C
+
+    (tmp_path / "c.yaml").write_text("ruptures: {cost_model: l2, penalty: 10, penalty_range: [1, 5], compare_algorithm: x}\ngripper: {closed: 0.5}\nticc: {enabled: false, n_clusters: 3}\n")
+    cfg = C.read_yaml(str(tmp_path / "c.yaml"))
+    assert C.change_config(cfg).model == "l2" and C.change_config(cfg).penalty_range == (1, 5) and C.phase_config(cfg).closed == 0.5
+    assert C.primitive_config(cfg).k == 3 and not C.enabled(cfg, "ticc") and C.enabled(cfg, "sktime") and C.read_yaml(None) == {}
+    assert C.modalities(["joint", "Joint", "ablation"]) == (["joint", "joint_command"], ["ablation is joint_command"])
