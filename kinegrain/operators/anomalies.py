@@ -98,25 +98,48 @@ def _runs(key: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(v)))
 
 
-def _pack_block(episode: int, block: int, robots: list, frames: np.ndarray, vals: np.ndarray, widths: list[int], hist: dict) -> dict:
-    known = [r for r in robots if r is not None]
-    source = max(sorted(set(known)), key=known.count) if known else None
-    rest, whole = [], []
-    for ch in range(len(vals)):
-        v = vals[ch][np.isfinite(vals[ch])]
-        if len(v):
-            _, length = _runs(np.zeros(len(v), np.int8), v)
-            rest.append(float(length.max()))
-            whole.append(int(length.max() >= 0.9 * len(v)))
-            cells, counts = np.unique(_bins(np.abs(np.diff(v))), return_counts=True)
-            into = hist.setdefault(source if source is not None else (episode, block), {})
-            for b, k in zip(cells.tolist(), counts.tolist(), strict=True):
-                code = ch * 4096 + b
-                into[code] = into.get(code, 0) + k
-        else:
-            rest.append(float("nan"))
-            whole.append(-1)
-    return {"episode_index": episode, "block": block, "source": source, "n": len(frames), "widths": widths, "frames": frames.astype(np.int64).tobytes(), "vals": vals.tobytes(), "rest": rest, "whole": whole}
+def _statistics(vals: np.ndarray, block: np.ndarray, source: np.ndarray, n_blocks: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[list, list]]]:
+    """Per channel and block: the longest run of one value, and whether it is nearly all of the block (-1: no reading).
+
+    Per source (a number per block): cells of the histograms of movement and their counts.
+    """
+    rest, whole = np.full((n_blocks, len(vals)), np.nan), np.full((n_blocks, len(vals)), -1)
+    cells: dict[int, tuple[list, list]] = {}
+    for ch, row in enumerate(vals):
+        ok = np.isfinite(row)
+        v, own = row[ok], block[ok]
+        if not len(v):
+            continue
+        start, length = _runs(own, v)
+        longest, seen = np.zeros(n_blocks), np.bincount(own, minlength=n_blocks)
+        np.maximum.at(longest, own[start], length)
+        has = seen > 0
+        rest[has, ch] = longest[has]
+        whole[has, ch] = longest[has] >= 0.9 * seen[has]
+        same = own[1:] == own[:-1]
+        found, counts = np.unique(source[own[1:][same]] * 4096 + _bins(np.abs(np.diff(v))[same]), return_counts=True)
+        for src, cell, k in zip((found // 4096).tolist(), (found % 4096 + (codes[ch] << 12)).tolist(), counts.tolist(), strict=True):
+            into = cells.setdefault(src, ([], []))
+            into[0].append(cell)
+            into[1].append(k)
+    return rest, whole, cells
+
+
+def _majority(robots: pa.Array, block: np.ndarray, n_blocks: int) -> list[str | None]:
+    """Most frequent robot of each block, the first by name of several; None where none is told."""
+    robots = robots.chunk(0) if isinstance(robots, pa.ChunkedArray) else robots
+    names, code = np.unique(np.array(robots.fill_null("").to_pylist(), dtype=object).astype(str), return_inverse=True)
+    count = np.zeros((n_blocks, len(names)), np.int64)
+    np.add.at(count, (block, code), 1)
+    if len(names) and names[0] == "":
+        count[:, 0] = 0
+    best = count.argmax(axis=1)
+    return [str(names[k]) if count[i, k] else None for i, k in enumerate(best.tolist())]
+
+
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    n, k = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(values.ravel(), kind))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,31 +153,33 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first[1:] = (ep[1:] != ep[:-1]) | (bl[1:] != bl[:-1]) | (fr[1:] != fr[:-1])  # a frame counts once
         t = t.filter(pa.array(first)).combine_chunks()
         ep, bl, fr = ep[first], bl[first], fr[first]
-        cut = np.append(np.flatnonzero(np.append(True, (ep[1:] != ep[:-1]) | (bl[1:] != bl[:-1]))), len(ep))
-        robots = t.column("robot_id").to_pylist()
+        start = np.flatnonzero(np.append(True, (ep[1:] != ep[:-1]) | (bl[1:] != bl[:-1])))
+        size = np.diff(np.append(start, len(ep)))
+        block = np.repeat(np.arange(len(start)), size)
         fields = [t.column(f"f{k}").combine_chunks() for k in range(len(FIELDS))]
         fields = [f.chunk(0) if isinstance(f, pa.ChunkedArray) else f for f in fields]
-        hist: dict = {}
-        rows = []
-        widest = [int(f.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).max()) if len(f) else 0 for f in fields]
-        vals = np.vstack([_columns_of(f, min(w, WIDTH)) for f, w in zip(fields, widest, strict=True)])
-        widths = [min(w, WIDTH) for w in widest]
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            rows.append(_pack_block(int(ep[a]), int(bl[a]), robots[a:b], fr[a:b], np.ascontiguousarray(vals[:, a:b]), widths, hist))
-        told = set()
-        for r in rows:
-            key = r["source"] if r["source"] is not None else (r["episode_index"], r["block"])
-            cells = {} if key in told else hist.get(key, {})
-            told.add(key)
-            # the code of a cell names the field and the channel within it, whatever the widths of this batch are
-            edges = np.cumsum([0, *widths])
-            codes = []
-            for code in cells:
-                ch, cell = divmod(code, 4096)
-                k = int(np.searchsorted(edges, ch, "right")) - 1
-                codes.append(((k * WIDTH + ch - int(edges[k])) << 12) + cell)
-            r["cells"], r["cell_n"] = codes, list(cells.values())
-        return pa.RecordBatch.from_pylist(rows, schema=_PACKED)
+        widths = [min(int(f.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).max()), WIDTH) for f in fields]
+        vals = np.vstack([_columns_of(f, w) for f, w in zip(fields, widths, strict=True)])
+        codes = np.concatenate([k * WIDTH + np.arange(w) for k, w in enumerate(widths)])
+        robots = _majority(t.column("robot_id").combine_chunks(), block, len(start))
+        # a block without a robot is a source of its own until its episode tells the robot
+        number: dict = {}
+        source = np.array([number.setdefault(r if r is not None else k, len(number)) for k, r in enumerate(robots)], dtype=np.int64)
+        rest, whole, cells = _statistics(vals, block, source, len(start), codes)
+        told: set[int] = set()
+        histogram = []
+        for src in source.tolist():
+            histogram.append(cells.get(src, ([], [])) if src not in told else ([], []))
+            told.add(src)
+        packed = [np.ascontiguousarray(vals[:, a : a + n]).tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+        moments = [fr[a : a + n].astype(np.int64).tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ep[start]), pa.array(bl[start]), pa.array(robots, pa.string()), pa.array(size.astype(np.int32)), _lists(np.tile(np.array(widths, dtype=np.int32), (len(start), 1)), pa.int32()), pa.array(moments, pa.binary()), pa.array(packed, pa.binary()),
+                _lists(rest, pa.float64()), _lists(whole.astype(np.int32), pa.int32()), pa.array([h[0] for h in histogram], pa.list_(pa.int64())), pa.array([h[1] for h in histogram], pa.list_(pa.int64())),
+            ],
+            schema=_PACKED,
+        )
 
     for batch in batches:
         if not batch.num_rows:
@@ -351,50 +376,44 @@ def _chain(key: np.ndarray, logb: np.ndarray, moved: np.ndarray, most: int = 1 <
     return out
 
 
-def flag_block(frames: np.ndarray, vals: np.ndarray, codes: np.ndarray, params: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, channel row, state) of the flagged readings of one block."""
-    nch, n = vals.shape
-    unknown = (0.0, np.inf, -np.inf, np.inf)
-    own = [params.get(int(x), unknown) for x in codes]
-    scale, still, low, high = (np.array([u if p[k] is None else p[k] for p in own], dtype=float) for k, u in enumerate(unknown))
+def flag_chains(key: np.ndarray, vals: np.ndarray, scale: np.ndarray, still: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """State of every reading (0: normal or no reading) of chains laid end to end; ``key`` is each reading's chain, the rest are per chain."""
     read = ~np.isnan(vals)
-    out = read & ((vals < low[:, None]) | (vals > high[:, None]) | np.isinf(vals))
+    out = read & ((vals < low[key]) | (vals > high[key]) | np.isinf(vals))
+    state = np.where(out, 3, 0).astype(np.int8)
     span = np.where(np.isfinite(high - low), high - low, 0.0)
-    use = read & ~out
-    ch, row = np.nonzero(use)
-    v = vals[use]
+    use = np.flatnonzero(read & ~out)
+    if not len(use):
+        return state
+    ch, v = key[use], vals[use]
     floor = np.maximum(scale, np.maximum(2e-3 * span, 1e-9))
     z, size = excursions(ch, v, floor[ch])
     begin, length = _runs(ch, v)
     run = np.repeat(length, length)
     spike = np.where(size > 0, spike_gain(z) / np.maximum(size, 1), -DECAY)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        stuck = np.where(run > 1, COST / still[ch], -30.0)
-    speaks = np.zeros(nch, bool)
-    np.logical_or.at(speaks, ch[(spike > 0)], True)
-    np.logical_or.at(speaks, ch[(run > 1) & (run * stuck > 0.5 * COST)], True)
-    state = np.zeros(vals.shape, np.int8)
-    state[out] = 3
-    if speaks.any():
-        # out-of-range readings stay in the chain, with one certain state
-        ch2, row2 = np.nonzero(read & speaks[:, None])
-        logb = np.full((len(ch2), 4), -700.0)
-        isout = out[ch2, row2]
-        logb[isout, 3] = 0.0
-        grid = np.zeros((3, nch, n))
-        grid[0][use], grid[1][use] = spike, stuck
-        first = np.zeros(len(v))
+    stuck = np.where(run > 1, COST / still[ch], -30.0)
+    speaks = np.zeros(len(scale), bool)
+    speaks[ch[(spike > 0) | ((run > 1) & (run * stuck > 0.5 * COST))]] = True
+    # out-of-range readings stay in their chain, with one certain state
+    own = np.flatnonzero(read & speaks[key])
+    if len(own):
+        at = np.full(len(vals), -1)
+        at[use] = np.arange(len(use))
+        first = np.zeros(len(use))
         first[begin] = 1.0
-        grid[2][use] = first
-        ok = ~isout
-        logb[ok, 0] = 0.0
-        logb[ok, 1] = grid[0][ch2[ok], row2[ok]]
-        logb[ok, 2] = grid[1][ch2[ok], row2[ok]]
-        p = _chain(ch2, logb, grid[2][ch2, row2])
+        k = at[own]
+        sure = k < 0
+        logb = np.zeros((len(own), 4))
+        logb[:, 1], logb[:, 2], logb[:, 3] = spike[k], stuck[k], -700.0
+        logb[sure] = (-700.0, -700.0, -700.0, 0.0)
+        p = _chain(key[own], logb, np.where(sure, 0.0, first[k]))
         best = np.where(p[:, 0] > 0.5, 0, 1 + np.argmax(p[:, 1:], axis=1))
-        state[ch2[ok], row2[ok]] = best[ok]
-    fc, fr = np.nonzero(state)
-    return fr, fc, state[fc, fr]
+        state[own[~sure]] = best[~sure]
+    return state
+
+
+#: Readings that are scored in one go.
+PORTION = 1 << 18
 
 
 _FLAGS = pa.schema([("episode_index", pa.int64()), ("frame_index", pa.int64()), ("field_name", pa.string()), ("channel", pa.int64()), ("kind", pa.string())])
@@ -402,27 +421,52 @@ FLAGS_DDL = "episode_index bigint, frame_index bigint, field_name string, channe
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks are scored many at a time: their chains, laid end to end, share every array operation."""
+    unknown = (0.0, np.inf, -np.inf, np.inf)
     for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
-        meta = batch.select(["episode_index", "block", "n", "widths", "params"]).to_pylist()
-        frames, vals = batch.column("frames"), batch.column("vals")
-        for k, r in enumerate(meta):
-            widths, n = r["widths"], r["n"]
-            if not sum(widths):
+        meta = batch.select(["episode_index", "block", "n", "widths"]).to_pylist()
+        frames, vals, params = (batch.column(x) for x in ("frames", "vals", "params"))
+        known: dict[str | None, dict] = {}
+        sources = batch.column("source").to_pylist()
+        at = 0
+        while at < len(meta):
+            xs, fs, lens, codes, owner, limits, used = [], [], [], [], [], [], []
+            total = 0
+            while at < len(meta) and (not xs or total < PORTION):
+                r = meta[at]
+                if sum(r["widths"]) and r["n"]:
+                    source = sources[at]
+                    if source not in known:
+                        known[source] = {p["ch"]: (p["scale"], p["still"], p["low"], p["high"]) for p in params[at].as_py() or ()}
+                    own = np.concatenate([j * WIDTH + np.arange(w) for j, w in enumerate(r["widths"])])
+                    xs.append(np.frombuffer(vals[at].as_buffer(), np.float64))
+                    fs.append(np.frombuffer(frames[at].as_buffer(), np.int64))
+                    codes.append(own)
+                    lens.append(np.full(len(own), r["n"]))
+                    owner.append(np.full(len(own), len(xs) - 1))
+                    limits += [known[source].get(int(x), unknown) for x in own]
+                    total += len(xs[-1])
+                    used.append(r)
+                at += 1
+            if not xs:
                 continue
-            fr = np.frombuffer(frames[k].as_buffer(), np.int64)
-            x = np.frombuffer(vals[k].as_buffer(), np.float64).reshape(sum(widths), n)
-            codes = np.concatenate([j * WIDTH + np.arange(w) for j, w in enumerate(widths)])
-            params = {p["ch"]: (p["scale"], p["still"], p["low"], p["high"]) for p in r["params"] or ()}
-            row, ch, state = flag_block(fr, x, codes, params)
-            mine = np.floor_divide(fr[row], BLOCK) == r["block"]
-            row, ch, state = row[mine], ch[mine], state[mine]
-            cols[0] += [r["episode_index"]] * len(row)
-            cols[1] += fr[row].tolist()
-            cols[2] += [FIELDS[j] for j in (codes[ch] // WIDTH).tolist()]
-            cols[3] += (codes[ch] % WIDTH).tolist()
-            cols[4] += [STATES[j] for j in state.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, _FLAGS, strict=True)], schema=_FLAGS)
+            x, length, code, block = np.concatenate(xs), np.concatenate(lens), np.concatenate(codes), np.concatenate(owner)
+            scale, still, low, high = (np.array([u if q[k] is None else q[k] for q in limits], dtype=float) for k, u in enumerate(unknown))
+            key = np.repeat(np.arange(len(length)), length)
+            state = flag_chains(key, x, scale, still, low, high)
+            hit = np.flatnonzero(state)
+            chain = key[hit]
+            row = hit - (np.cumsum(length) - length)[chain]
+            base = np.cumsum([0, *map(len, fs)])
+            frame = np.concatenate(fs)[base[block[chain]] + row]
+            mine = np.floor_divide(frame, BLOCK) == np.array([m["block"] for m in used])[block[chain]]
+            chain, frame, hit = chain[mine], frame[mine], hit[mine]
+            field, channel = np.divmod(code[chain], WIDTH)
+            episode = np.array([m["episode_index"] for m in used], dtype=np.int64)[block[chain]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(episode), pa.array(frame), pa.array(np.array(FIELDS, dtype=object)[field], pa.string()), pa.array(channel.astype(np.int64)), pa.array(np.array(STATES, dtype=object)[state[hit]], pa.string())],
+                schema=_FLAGS,
+            )
 
 
 def implausible(frames: DataFrame, files: DataFrame, episodes: DataFrame, robots: DataFrame, limits: DataFrame) -> DataFrame:
