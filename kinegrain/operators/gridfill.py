@@ -9,7 +9,8 @@ standard deviations. Filled slots are marked.
 Execution: the first time of every source comes from a partially aggregated pre-pass. Sources are cut
 into pieces of ``PIECE`` seconds of absolute time, with ``HALO`` seconds of context on both sides, so
 that a source of any length is spread over many tasks; a piece also owns the gap before its first
-reading; where that starts, and the reading before it, come from the pre-pass. One shuffle, on source and piece, moves the readings.
+reading; where that starts comes from the pre-pass, and where it reaches beyond the context, the reading
+before it is looked up and joins the piece. One shuffle, on source and piece, moves the readings.
 
 Defined cases: readings whose time is null or not finite, or that have no element at all, take no slot,
 though a time without elements can still be the first time; repeated readings count once (they average
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinegrain.runtime import materialize
 from kinegrain.sources.tables import STATE, c, clean_episodes, resolve_episodes
 
 PIECE = 600.0
@@ -104,7 +106,7 @@ def _as_batch(ep: int, slot: np.ndarray, t0: float, fps: float, state: np.ndarra
     return pa.RecordBatch.from_arrays(cols, schema=_GRID)
 
 
-def _fill_piece(ep: int, t0: float, fps: float, before: int | None, edge: list | None, slot: np.ndarray, state: np.ndarray, mine: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _fill_piece(ep: int, t0: float, fps: float, before: int | None, slot: np.ndarray, state: np.ndarray, mine: np.ndarray) -> Iterator[pa.RecordBatch]:
     """All slots that a piece owns: after ``before`` (its predecessor's last slot) to its own last one."""
     if not mine.any():
         return
@@ -113,12 +115,6 @@ def _fill_piece(ep: int, t0: float, fps: float, before: int | None, edge: list |
     last = int(own.max())
     if last < first:
         return
-    if before is not None and before < slot.min():
-        # the gap began before what this piece holds: its other side is the predecessor's last reading
-        value = np.full((1, state.shape[1]), np.nan)
-        known = np.array([np.nan if v is None else v for v in edge or ()], dtype=float)[: state.shape[1]]
-        value[0, : len(known)] = known
-        slot, state = np.append(before, slot), np.vstack([value, state])
     far = int(WINDOW * 50)
     lo, hi = max(int(slot.min()), first - far), min(int(slot.max()), last + far)
     # a gap that is far longer than a window is handed out in portions, straight between its ends
@@ -163,7 +159,7 @@ def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = t.combine_chunks()
         ep, piece = t.column("episode_index").to_numpy(), t.column("piece").to_numpy()
         slot, own, t0, fps = (t.column(x).to_numpy() for x in ("slot", "own", "t0", "fps"))
-        before, edge = t.column("before").to_pylist(), t.column("before_state")
+        before = t.column("before").to_pylist()
         lists = t.column("state").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         from kinegrain.operators.anomalies import _columns_of
@@ -172,7 +168,7 @@ def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = _columns_of(lists, wide).T
         cut = np.append(np.flatnonzero(np.append(True, (ep[1:] != ep[:-1]) | (piece[1:] != piece[:-1]))), len(ep))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            yield from _fill_piece(int(ep[a]), float(t0[a]), float(fps[a]), before[a], edge[int(a)].as_py(), slot[a:b], state[a:b], own[a:b] == piece[a])
+            yield from _fill_piece(int(ep[a]), float(t0[a]), float(fps[a]), before[a], slot[a:b], state[a:b], own[a:b] == piece[a])
 
     for batch in batches:
         if not batch.num_rows:
@@ -204,21 +200,25 @@ def regular_grid(frames: DataFrame, files: DataFrame, episodes: DataFrame) -> Da
     own = F.floor(F.col("t") / PIECE).cast("bigint")
     f = f.withColumn("own", own).withColumn("counts", F.coalesce(counts, F.lit(False)))
     # one row per episode and piece: small beside the frames
-    spans = f.groupBy("episode_index", "own").agg(F.min("t").alias("t0"), F.max(F.when(F.col("counts"), F.struct("t", "state"))).alias("last"))
+    spans = f.groupBy("episode_index", "own").agg(F.min("t").alias("t0"), F.max(F.when(F.col("counts"), F.col("t"))).alias("last"))
     w = Window.partitionBy("episode_index")
     meta = (
         spans.join(clean_episodes(episodes).select("episode_index", "fps"), "episode_index", "left")
         .withColumn("fps", F.coalesce("fps", F.lit(30.0)))
         .withColumn("t0", F.min("t0").over(w))
         .withColumn("before", F.max("last").over(w.orderBy("own").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("episode_index", F.col("own").alias("piece"), "t0", "fps", F.round((F.col("before.t") - F.col("t0")) * F.col("fps")).cast("bigint").alias("before"), F.col("before.state").alias("before_state"))
+        .select("episode_index", F.col("own").alias("piece"), "t0", "fps", F.round((F.col("before") - F.col("t0")) * F.col("fps")).cast("bigint").alias("before"), F.col("before").alias("t"))
     )
+    meta = materialize(meta, "pieces")
+    far = materialize(meta.where(F.col("t") < F.col("piece") * PIECE - HALO + 1e-3).select("episode_index", "piece", "t"), "far")
     inside = F.col("t") - F.col("own") * PIECE
     pieces = F.when(inside < HALO, F.array(F.col("own"), F.col("own") - 1)).when(inside > PIECE - HALO, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))
     moved = f.where("counts").select("episode_index", "t", "state", "own", F.explode(pieces).alias("piece"))
+    if not far.isEmpty():
+        moved = moved.unionByName(f.where("counts").join(far, ["episode_index", "t"]).select("episode_index", "t", "state", "own", "piece"))
     ready = (
-        moved.join(meta, ["episode_index", "piece"])
-        .select("episode_index", "piece", "own", "t0", "fps", "before", "before_state", F.round((F.col("t") - F.col("t0")) * F.col("fps")).cast("bigint").alias("slot"), "state")
+        moved.join(meta.drop("t"), ["episode_index", "piece"])
+        .select("episode_index", "piece", "own", "t0", "fps", "before", F.round((F.col("t") - F.col("t0")) * F.col("fps")).cast("bigint").alias("slot"), "state")
         .repartition("episode_index", "piece")
         .sortWithinPartitions("episode_index", "piece", "slot")
     )
