@@ -126,16 +126,35 @@ def elbow(counts: np.ndarray) -> int:
     return int(np.argmax(np.abs(np.gradient(np.gradient(counts.astype(float))))))
 
 
+#: Up to this length a sweep prices all segments once and searches for every penalty at the same time.
+TABLE = 2000
+
+
+def optimum_sizes(cost: Cost, penalties: np.ndarray, min_size: int = 5, jump: int = 1) -> np.ndarray:
+    """Number of boundaries of the penalised optimum for each of many penalties."""
+    n = cost.n
+    if n > TABLE:
+        return np.array([len(pelt(cost, float(p), min_size, jump)) for p in penalties])
+    ends = [e for e in range(jump, n, jump) if e >= min_size] + ([n] if n >= min_size else [])
+    best = np.full((len(penalties), n + 1), np.inf)
+    best[:, 0] = -penalties
+    count = np.zeros((len(penalties), n + 1), int)
+    starts = np.array([0, *ends])
+    rows = np.arange(len(penalties))
+    for e in ends:
+        able = starts[starts <= e - min_size]
+        own = best[:, able] + cost(able, e)
+        k = np.argmin(own, axis=1)
+        best[:, e] = own[rows, k] + penalties
+        count[:, e] = count[rows, able[k]] + (able[k] > 0)
+    return count[:, n]
+
+
 def penalty_sweep(cost: Cost, config: ChangeConfig) -> tuple[float, np.ndarray, np.ndarray]:
     """Chosen penalty, the penalties tried and the number of boundaries of each."""
     lo, hi = max(config.penalty_range[0], 1e-6), config.penalty_range[1]
     tried = np.logspace(np.log10(lo), np.log10(hi), config.penalty_steps)
-    counts = np.zeros(len(tried), int)
-    for k, p in enumerate(tried):
-        try:
-            counts[k] = len(pelt(cost, float(p), config.min_size, config.jump))
-        except Exception:  # noqa: BLE001 - a penalty that can't be tried counts none
-            counts[k] = 0
+    counts = optimum_sizes(cost, tried, config.min_size, config.jump)
     return float(tried[elbow(counts)]), tried, counts
 
 

@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from kinegrain.functions.changepoints import ChangeConfig, binary_segmentation, bottom_up, elbow, pelt, run_methods, sliding_window, tidy
+from kinegrain.functions.changepoints import ChangeConfig, binary_segmentation, bottom_up, elbow, optimum_sizes, pelt, run_methods, sliding_window, tidy
 from kinegrain.functions.costs import make_cost
 from kinegrain.functions.primitives import PrimitiveConfig, discover, silhouette, switch_path
 from kinegrain.functions.segmenters import as_boundaries, bocpd, clasp, run_segmenter, stray
@@ -129,3 +129,14 @@ def test_kinematics():
         x, yy, z, w = rotation_to_quat(mat[None])[0]
         back = np.array([[1 - 2 * (yy * yy + z * z), 2 * (x * yy - z * w), 2 * (x * z + yy * w)], [2 * (x * yy + z * w), 1 - 2 * (x * x + z * z), 2 * (yy * z - x * w)], [2 * (x * z - yy * w), 2 * (yy * z + x * w), 1 - 2 * (x * x + yy * yy)]])
         assert back == pytest.approx(mat, abs=1e-9)
+
+
+@pytest.mark.parametrize("model", ["l2", "l1", "rbf", "cosine"])
+def test_sweep_equals_single_searches(model):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(m, 1, size=(11, 2)) for m in (0, 4, 1)])
+    tried = np.logspace(-1, 2, 15)
+    for least, jump in [(1, 1), (5, 1), (2, 3)]:
+        c = make_cost(model, x)
+        assert optimum_sizes(c, tried, least, jump).tolist() == [len(pelt(c, float(p), least, jump)) for p in tried]
+    assert optimum_sizes(make_cost(model, x[:3]), tried, 5).tolist() == [0] * 15
