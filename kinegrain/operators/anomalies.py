@@ -85,11 +85,6 @@ def _bins(moves: np.ndarray) -> np.ndarray:
     return np.where(moves > 0, np.clip(b, 1, 2 * BIN_ZERO), 0).astype(np.int64)
 
 
-def bin_value(cell: float) -> float:
-    """Upper edge of a histogram cell."""
-    return 0.0 if cell < 1 else float(10 ** ((cell - BIN_ZERO + 1) / BINS_PER_DECADE))
-
-
 def _runs(key: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of runs of one value within one key."""
     new = np.ones(len(v), bool)

@@ -72,7 +72,7 @@ def ssa_fill(x: np.ndarray, window: int = WINDOW, rank: int = RANK, tolerance: f
     rows = np.flatnonzero(span)
     count = np.zeros(n)
     for o in range(window):
-        np.add.at(count, rows + o, 1.0)
+        count[rows + o] += 1.0  # rows are distinct
     count = np.maximum(count, 1.0)[:, None]
     rank = min(rank, window)
     for _ in range(rounds):

@@ -278,7 +278,7 @@ def joint_command_features(spark, d):
     r = S.resample_linear(t, E, "frame", ["q", "q_cmd"])
     r = S.gradient(S.gradient(r, E, "k", "q", "d_q", F.col("dt")), E, "k", "d_q", "dd_q", F.col("dt"))
     cols = ["q", "d_q", "dd_q", "q_cmd", "err_q"]
-    r = scale_columns(joint_command_columns(r, ["q"], ["q_cmd"]).withColumnRenamed("err_q", "err_q"), E, {c: "joint" if c in cols[:3] else "command" for c in cols}, PLAIN)
+    r = scale_columns(joint_command_columns(r, ["q"], ["q_cmd"]), E, {c: "joint" if c in cols[:3] else "command" for c in cols}, PLAIN)
     return rounded(r.select("episode", "k", *cols), *cols, digits=5)
 
 
