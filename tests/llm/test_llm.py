@@ -260,3 +260,25 @@ def test_boilerplate_is_subtracted(spark):
     texts = [f"Fix item {i}\n\nNotice: {{{{team}}}} 4711" for i in range(20)]
     assert len(found(spark, texts)) == 20
     assert found(spark, texts, share=0.5, least=10) == {}
+
+
+FILLERS = [
+    "Blindtext für das Layout. Hier steht später der richtige Text. Mustertext, bitte ersetzen.", "Aquí va su contenido. Texto de relleno, sustituir después.", "Texto provisório, substituir depois. Seu texto aqui.", "Faux texte pour la mise en page. Texte de remplissage, à remplacer.",
+    "Votre texte ici.", "Здесь будет ваш текст. Текст-заполнитель, заменить позже.", "これはダミーテキストです。 ここに本文が入ります。", "これはダミーテキストです。ここに本文が入ります。", "此处为占位文字。 示例文本，稍后替换。",
+]
+SPOKEN = [
+    "Mustertext im Layout ersetzt", "Quita el texto de relleno de la portada", "Remove o texto provisório", "Retire le faux texte de l'accueil", "Заменить текст-заполнитель на главной", "ダミーテキストを削除", "删除占位文字",
+    "Antes o índice de episódios era lido duas vezes. Antes o índice de episódios era lido duas vezes.",
+]
+
+
+def test_filler_of_other_languages(spark):
+    texts = FILLERS + SPOKEN
+    for wrap in (lambda t: t, lambda t: HEAD + "Titel\n    " + t + DIFF):
+        got = found(spark, [wrap(t) for t in texts])
+        assert {k: v for k, v in got.items()} == {k: {"filler"} for k in range(len(FILLERS))}
+
+
+def test_full_width_slots(spark):
+    got = found(spark, ["削除： ＜ここに概要を記入＞（長い記録）", "件名 ｛｛氏名｝｝", "整理：値 ＜ 上限"])
+    assert got == {0: {"placeholder"}, 1: {"placeholder"}}
