@@ -282,3 +282,19 @@ def test_filler_of_other_languages(spark):
 def test_full_width_slots(spark):
     got = found(spark, ["削除： ＜ここに概要を記入＞（長い記録）", "件名 ｛｛氏名｝｝", "整理：値 ＜ 上限"])
     assert got == {0: {"placeholder"}, 1: {"placeholder"}}
+
+
+def test_recurrent_evidence_is_kept(spark):
+    pages = ["404 - page not found", "Bitte aktivieren Sie JavaScript.", "Lorem ipsum dolor sit amet.", "Fix\n\n{{author}}", "Fix\n\n## Why\n(please say why)"]
+    for page in pages:
+        # the same host ten times larger
+        for n in (10, 200):
+            texts = [page if i % 5 < 2 else f"Add step {'ab'[i % 2] * (i + 1)}" for i in range(n)]
+            assert set(found(spark, texts)) == {i for i in range(n) if i % 5 < 2}, (page, n)
+
+
+def test_subtraction_joins_nothing(spark):
+    # what parts a heading from a bracket recurs, so it is subtracted, but no empty section comes of it
+    assert found(spark, [f"Add {'a' * (i + 1)}\n\n## Why\nSame as before.\n(see the log)" for i in range(60)]) == {}
+    # whole lines of evidence stay when slots are given up
+    assert found(spark, ["404 - page not found\nTry again."] * 20, share=0.5, least=10) == {i: {"error"} for i in range(20)}
