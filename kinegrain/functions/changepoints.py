@@ -64,7 +64,7 @@ def binary_segmentation(cost: Cost, n_bkps: int, min_size: int = 5, jump: int =
         at = np.array([s for s in range(a + min_size, b - min_size + 1) if s % jump == 0], dtype=int)
         if not len(at):
             return -np.inf, -1
-        gain = cost.one(a, b) - np.array([cost.one(a, s) for s in at]) - cost(at, b)
+        gain = cost.one(a, b) - cost.many(a, at) - cost(at, b)
         k = int(np.argmax(gain))
         return float(gain[k]), int(at[k])
 

@@ -8,6 +8,11 @@ import numpy as np
 
 AVAILABLE = ("clasp", "binseg", "ggs", "bocpd", "stray")
 
+#: Distances held at once.
+PORTION = 4_000_000
+#: Differences of all pairs of windows beyond which their distances come from products.
+FAR = 1e10
+
 
 def label_changes(labels: np.ndarray) -> list[int]:
     labels = np.asarray(labels)
@@ -38,9 +43,17 @@ def clasp(x: np.ndarray, n_cps: int, period: int, k: int = 3) -> list[int]:
         if m < 4 * w:
             return -1.0, -1
         own = z[a : a + m]
-        d = ((own[:, None] - own[None]) ** 2).sum(axis=2)
-        d[np.abs(np.subtract.outer(np.arange(m), np.arange(m))) < max(1, w // 2)] = np.inf
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near = np.empty((m, k), int)
+        long = m * m * w > FAR
+        norm = (own**2).sum(axis=1)
+        size = max(1, PORTION // (m if long else m * w))
+        for r in range(0, m, size):
+            if long:
+                d = norm[r : r + size, None] + norm - 2 * own[r : r + size] @ own.T
+            else:
+                d = ((own[r : r + size, None] - own[None]) ** 2).sum(axis=2)
+            d[np.abs(np.subtract.outer(np.arange(r, r + len(d)), np.arange(m))) < max(1, w // 2)] = np.inf
+            near[r : r + size] = np.argsort(d, axis=1, kind="stable")[:, :k]
         scores = np.full(m, -1.0)
         for s in range(w, m - w):
             right = near >= s
@@ -71,14 +84,15 @@ def bocpd(x: np.ndarray, hazard: float = 1 / 100.0) -> list[int]:
     v = np.asarray(x, float).reshape(len(x), -1)
     v = (v - v.mean(axis=0)) / np.maximum(v.std(axis=0), 1e-9)
     n, d = v.shape
-    gamma = np.vectorize(math.lgamma)
+    # a run of i frames has nu = 2 + i
+    ratio = np.array([math.lgamma((i + 3) / 2) - math.lgamma((i + 2) / 2) for i in range(n)])[:, None]
     log_r = np.array([0.0])
     mu, kappa, alpha, beta = np.zeros((1, d)), np.ones(1), np.ones(1), np.ones((1, d))
     start = np.zeros(n, int)
     for t in range(n):
         scale = beta * (kappa + 1)[:, None] / (alpha * kappa)[:, None]
         nu = (2 * alpha)[:, None]
-        log_p = (gamma((nu + 1) / 2) - gamma(nu / 2) - 0.5 * np.log(np.pi * nu * scale) - (nu + 1) / 2 * np.log1p((v[t] - mu) ** 2 / (nu * scale))).sum(axis=1)
+        log_p = (ratio[: t + 1] - 0.5 * np.log(np.pi * nu * scale) - (nu + 1) / 2 * np.log1p((v[t] - mu) ** 2 / (nu * scale))).sum(axis=1)
         grow = log_r + log_p + math.log(1 - hazard)
         both = log_r + log_p + math.log(hazard)
         new = np.logaddexp.reduce(both)
@@ -101,9 +115,8 @@ def stray(x: np.ndarray, k: int = 10, alpha: float = 0.01, share: float = 0.5) -
     k = min(k, n - 1)
     if k < 1:
         return []
-    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
-    d.sort(axis=1)
-    near = d[:, : k + 1]
+    size = max(1, PORTION // v.size)
+    near = np.concatenate([np.sort(np.sqrt(((v[r : r + size, None] - v[None]) ** 2).sum(axis=2)), axis=1)[:, : k + 1].copy() for r in range(0, n, size)])
     score = near[np.arange(n), 1 + np.argmax(np.diff(near, axis=1), axis=1)]
     order = np.argsort(score, kind="stable")
     s = score[order]

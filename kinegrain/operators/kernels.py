@@ -1,8 +1,8 @@
 """Numeric kernels run per recording: change-points, segmenters, primitives, low-pass, kinematics.
 
 One recording is one group. A kernel that fails gives a row with status ``error`` and the reason, never a
-failed job. The kernels are quadratic in a recording's length at worst; longer recordings than
-``longest`` frames are refused with such a row rather than filling a task.
+failed job. The kernels' time is quadratic in a recording's length at worst, their memory is not, so a
+recording of any length is worked out.
 """
 
 from __future__ import annotations
@@ -21,15 +21,13 @@ from kinegrain.functions.primitives import PrimitiveConfig, discover
 from kinegrain.functions.segmenters import AVAILABLE, run_segmenter
 from kinegrain.functions.signals import Model, lowpass, rotation_to_quat
 
-LONGEST = 20_000
-
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
     """By recording, over all of the shuffle's partitions: the kernels' time isn't in their input's bytes, by which the engine would merge partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def _per_recording(df: DataFrame, key: str, order: str, vector: str, make: Callable[[np.ndarray], list[dict]], columns: str, longest: int = LONGEST) -> DataFrame:
+def _per_recording(df: DataFrame, key: str, order: str, vector: str, make: Callable[[np.ndarray], list[dict]], columns: str) -> DataFrame:
     """``make`` turns a recording's (T, D) matrix into rows; adds key, status, error and runtime_s."""
     names = [c.split()[0] for c in columns.split(", ")]
 
@@ -37,8 +35,6 @@ def _per_recording(df: DataFrame, key: str, order: str, vector: str, make: Calla
         pdf = pdf.sort_values(order, kind="stable")
         began = time.perf_counter()
         try:
-            if len(pdf) > longest:
-                raise ValueError(f"{len(pdf)} frames are more than {longest}")
             rows, status, error = make(np.array(pdf[vector].tolist(), dtype=float).reshape(len(pdf), -1)), "success", None
         except Exception as e:  # noqa: BLE001 - one bad recording must not fail the job
             rows, status, error = [{}], "error", str(e)

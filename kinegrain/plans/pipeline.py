@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinegrain.functions.changepoints import ChangeConfig
 from kinegrain.operators.evaluation import compare_methods, duration_stats, mean_ignoring_missing
 from kinegrain.operators.kernels import change_points
+from kinegrain.runtime import materialize
 
 METHODS = ("pelt", "binseg", "window", "bottomup")
 
@@ -21,8 +22,17 @@ def pipeline_boundaries(features: DataFrame, key: str, order: str, vector: str,
 
 
 def pipeline_summary(found: DataFrame, key: str, fps: float, tolerance: float = 5.0) -> tuple[DataFrame, DataFrame]:
-    """Duration statistics per method and agreement per pair of methods, both averaged over recordings."""
+    """Duration statistics per method and agreement per pair of methods, both averaged over recordings.
+
+    Recordings without a result are counted in the statistics' row ``failed``.
+    """
+    # written, as it is read several times
+    found = materialize(found, "found")
     good = found.where("status = 'success'")
+    failed = found.where("status = 'error'").agg(F.lit("failed").alias("method"), F.countDistinct(key).alias("n_episodes")).where("n_episodes > 0")
     stats = duration_stats(good, [key, "method"], "boundaries", "n_frames", fps)
     pairs = compare_methods(good.select(key, "method", "method_ord", "boundaries"), [key], tolerance)
-    return mean_ignoring_missing(stats, ["method"], ["n_segments", "mean_s", "std_s", "min_s", "max_s", "total_s"]), mean_ignoring_missing(pairs, ["pair"], ["precision", "recall", "f1"])
+    columns = ["n_segments", "mean_s", "std_s", "min_s", "max_s", "total_s"]
+    means = mean_ignoring_missing(stats, ["method"], columns)
+    none = failed.select("method", *[F.lit(float("nan")).alias(c) for c in columns], "n_episodes")
+    return means.unionByName(none), mean_ignoring_missing(pairs, ["pair"], ["precision", "recall", "f1"])

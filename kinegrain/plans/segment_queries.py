@@ -125,7 +125,7 @@ SCALED = {"min_segment_duration_s": 20000.0, "hysteresis_duration_s": 20000.0, "
 @query()
 def hybrid_boundaries(spark, d):
     """Rules and change-points of posed trajectories together."""
-    return R.boundary_strings(detect_boundaries(_posed(spark, d), "episode", "frame", L.task_profile("charger_insertion", **SCALED)), E)
+    return R.boundary_strings(detect_boundaries(_posed(spark, d), "episode", "frame", L.task_profile("charger_insertion", **SCALED)), [*E, "error"])
 
 
 @query()

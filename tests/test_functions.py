@@ -140,3 +140,36 @@ def test_sweep_equals_single_searches(model):
         c = make_cost(model, x)
         assert optimum_sizes(c, tried, least, jump).tolist() == [len(pelt(c, float(p), least, jump)) for p in tried]
     assert optimum_sizes(make_cost(model, x[:3]), tried, 5).tolist() == [0] * 15
+
+
+def test_kernels_without_their_square_equal_those_with_it():
+    from kinegrain.functions import costs as C
+
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(900, 2)).cumsum(axis=0), np.repeat(rng.integers(0, 3, size=30), 30).astype(float)):
+        for cost in (C.RBF, C.Cosine):
+            whole, parts = cost(x), type("Parts", (cost,), {"DENSE": 100, "ROOM": 900 * 10})(x)
+            for end in (900, 5, 6, 70, 640, 641, 899):
+                starts = np.arange(end)
+                assert np.allclose(parts(starts, end), whole(starts, end), atol=1e-7)
+                assert np.allclose([parts.one(a, end) for a in (0, end - 1, end // 2)], [whole.one(a, end) for a in (0, end - 1, end // 2)], atol=1e-7)
+            assert np.allclose(parts.many(77, np.arange(78, 901)), whole.many(77, np.arange(78, 901)), atol=1e-7)
+
+
+def test_middle_of_portions_is_exact():
+    from kinegrain.functions import costs as C
+
+    rng = np.random.default_rng(5)
+    for v in (rng.normal(size=20_001), rng.normal(size=5000), np.repeat([1.0, 2.0], 3000), np.zeros(4000), np.append(rng.exponential(size=4000) ** 9, 1e12), np.repeat([0.0, 5.0, 7.0], 2000), np.repeat([1.0, np.nextafter(1.0, 2)], [2000, 2500])):
+        assert C.middle(lambda: iter(np.array_split(v, 7)), len(v), False, room=50) == np.median(v)
+
+
+def test_segmenters_in_portions(monkeypatch):
+    from kinegrain.functions import segmenters as S
+
+    x = np.random.default_rng(6).normal(size=(400, 2)) + np.repeat([0, 4], 200)[:, None]
+    whole = S.clasp(x, 2, 20), S.stray(x)
+    monkeypatch.setattr(S, "PORTION", 5000)
+    assert (S.clasp(x, 2, 20), S.stray(x)) == whole
+    monkeypatch.setattr(S, "FAR", 0)
+    assert S.clasp(x, 2, 20) == whole[0]

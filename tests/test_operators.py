@@ -180,3 +180,27 @@ def test_report(spark):
     assert [r.label for r in R.low_confidence(s).collect()] == ["a"]
     text = R.comparison_markdown(s.select("label", "confidence"), s.select("label"))
     assert "N/A" in text and "0.200" in text
+
+
+def test_long_recordings_are_worked_out(spark):
+    df = spark.range(20_500).selectExpr("1 as episode", "cast(id as int) as frame", "array(if(id < 9000, 0.0D, 50.0D)) as v")
+    config = K.ChangeConfig(model="l2", penalty=1000.0)
+    assert [(r.method, r.boundaries, r.status, r.error) for r in K.change_points(df, "episode", "frame", "v", config, ("pelt",)).collect()] == [("pelt", [9000], "success", None)]
+    config = K.ChangeConfig(model="rbf", penalty=100.0, jump=50)
+    assert [(r.boundaries, r.status) for r in K.change_points(df, "episode", "frame", "v", config, ("pelt",)).collect()] == [([9000], "success")]
+
+
+def test_failed_kernels_are_told(spark, monkeypatch):
+    from kinegrain.operators import trajectory as T
+    from kinegrain.plans.pipeline import pipeline_summary
+
+    rows = [("a", "pelt", 0, [4], 10, "success"), ("b", None, None, None, 10, "error")]
+    found = spark.createDataFrame(rows, "episode string, method string, method_ord int, boundaries array<bigint>, n_frames bigint, status string")
+    assert {r.method: (r.n_segments, r.n_episodes) for r in pipeline_summary(found, "episode", 10.0)[0].collect() if r.method != "failed"} == {"pelt": (2.0, 1)}
+    assert [(r.n_episodes, str(r.mean_s)) for r in pipeline_summary(found, "episode", 10.0)[0].where("method = 'failed'").collect()] == [(1, "nan")]
+
+    frames = spark.range(40).selectExpr("id div 20 as episode", "id % 20 as frame", "(id % 20) / 10.0D as t", "0.0D as x", "0.0D as y", "0.0D as z", "0.0D as speed", "if(id < 20, 0.0D, null) as gripper")
+    profile = L.task_profile("charger_insertion")
+    monkeypatch.setattr(T, "change_boundaries", lambda f, key, *_: f.select(key).distinct().selectExpr(key, "cast(null as array<bigint>) boundaries", "if(episode = 1, 'error', 'success') status", "if(episode = 1, 'no memory', null) error"))
+    assert sorted((r.episode, r.error) for r in T.detect_boundaries(frames, "episode", "frame", profile).collect()) == [(0, None), (1, "no memory")]
+    assert [r.error for r in T.detect_boundaries(frames, "episode", "frame", profile, "rules").collect()] == [None, None]
