@@ -73,18 +73,99 @@ def test_long_recordings_are_cut(spark, monkeypatch):
     assert run(spark, rows) == whole and len(whole) == 2
 
 
+def planted(seed, n_recordings=40, n=400):
+    """Recordings of one robot whose channels move, are driven in steps, rest all at once or are fixed, and the faults planted in them."""
+    rng = np.random.default_rng(seed)
+    rows, truth = [], {}
+    for e in range(n_recordings):
+        x = np.empty((n, 4))
+        x[:, 0] = np.cumsum(rng.normal(0, 0.05, n)) + rng.normal(0, 0.01, n)
+        at = np.cumsum(rng.integers(8, 45, n))
+        x[:, 1] = np.round(rng.normal(0, 1, n), 3)[np.searchsorted(at, np.arange(n), side="right")]
+        rest = np.zeros(n, bool)
+        for a in rng.integers(10, n - 90, 3):
+            rest[a : a + int(rng.integers(15, 61))] = True
+        x[:, 2] = np.cumsum(np.where(rest, 0.0, rng.normal(0, 0.05, n)))
+        x[:, 3] = 1.25
+        used = np.zeros(n, bool)
+        for ch in range(4):
+            for a in rng.integers(10, n - 90, 1 if e % 2 else 0):
+                k = int(rng.integers(1, 4))
+                if not used[a - 6 : a + k + 6].any() and (ch != 1 or x[a - 1, 1] == x[a + k, 1]):
+                    used[a : a + k] = True
+                    x[a : a + k, ch] += rng.choice([-1, 1]) * rng.uniform(1.0, 4.0)
+                    truth |= {(e, a + i, ch): "spike" for i in range(k)}
+        if e % 20 == 0:
+            a, k = int(rng.integers(10, n - 90)), int(rng.integers(16, 61))
+            if not used[a - 6 : a + k + 6].any():
+                x[a : a + k, 0] = x[a, 0]
+                truth |= {(e, a + i, 0): "stuck" for i in range(k)}
+        if e % 5 == 0:
+            a = int(rng.integers(10, n - 90))
+            if not used[a - 6 : a + 6].any() and (e, a, 0) not in truth:
+                x[a, 0] = -9999.0
+                truth[e, a, 0] = "range"
+        rows += [[e, e, i, "r1", i / 30, x[i].tolist(), None, None] for i in range(n)]
+    return rows, truth
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_planted_faults_are_told_from_steps_rests_and_fixed_channels(spark, seed):
+    rows, truth = planted(seed)
+    limits = [("m", "observation.state", ch, -100.0, 100.0) for ch in range(4)]
+    found = {(e, i, ch): kind for e, i, _, ch, kind in run(spark, rows, limits=limits)}
+    for kind in ("spike", "stuck", "range"):
+        want, got = {k for k, v in truth.items() if v == kind}, {k for k, v in found.items() if v == kind}
+        assert want and len(want & got) >= 0.97 * len(want), kind
+        assert len(want & got) >= 0.97 * len(got), kind
+
+
+def test_any_number_of_channels(spark):
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.normal(0, 0.01, (3, 60, 300)), axis=1)
+    x[1, 30, 290] += 5.0
+    rows = [[e, e, i, "r1", i / 30, x[e, i].tolist(), [0.1], [0.2, 0.3]] for e in range(3) for i in range(60)]
+    assert run(spark, rows) == [(1, 30, "observation.state", 290, "spike")]
+
+
+def test_rests_longer_than_the_context_of_a_block(spark, monkeypatch):
+    """A source that usually rests for 60 readings gets stuck beyond 150, though a block shows less of the run."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for e in range(25):
+        x = np.cumsum(rng.normal(0, 0.05, 700))
+        x[100:160] = x[100]
+        x[500:560] = x[500]
+        if e == 3:
+            x[230:420] = x[230]
+        if e == 4:
+            x[230:370] = x[230]
+        rows += [[e, e, i, "r1", i / 30, [float(x[i])], None, None] for i in range(700)]
+    want = [(3, i, "observation.state", 0, "stuck") for i in range(230, 420)]
+    assert run(spark, rows) == want
+    monkeypatch.setattr(A, "BLOCK", 64)
+    monkeypatch.setattr(A, "HALO", 16)
+    packed = A.pack_frames(spark.createDataFrame([tuple(r) for r in rows], FRAMES), spark.createDataFrame([], FILES), spark.createDataFrame([], EPISODES))
+    params = spark.createDataFrame([("r1", [(0, 0.2, 150.0, None, None)])], "source string, params array<struct<ch:bigint,scale:double,still:double,low:double,high:double>>")
+    runs = {(r.episode_index, r.block): r.runs[0] for r in A.crossing_runs(packed, params).collect()}
+    assert runs[3, 3].trail == 190 and runs[3, 4].lead == runs[3, 4].trail == 190 and runs[3, 6].lead == 190 and runs[3, 6].trail == 1
+    assert runs[4, 4].lead == 140 and runs[0, 0].lead == 1
+
+
 def test_posteriors_equal_enumeration():
     import itertools
 
     rng = np.random.default_rng(0)
     logb = rng.normal(0, 3, (1, 5, 4))
     moved = np.array([[1, 0, 1, 0, 0.0]])
-    p = A.posteriors(logb, moved, np.array([5]))
+    apart = np.array([[1, 1, 0, 1, 1.0]])
+    p = A.posteriors(logb, moved, apart, np.array([5]))
     total = np.zeros((5, 4))
     for path in itertools.product(range(4), repeat=5):
-        if any(a == b == 2 and moved[0, t + 1] for t, (a, b) in enumerate(zip(path[:-1], path[1:], strict=True))):
+        if any((a == b == 2 and moved[0, t + 1]) or ((a == 2) != (b == 2) and not moved[0, t + 1]) for t, (a, b) in enumerate(zip(path[:-1], path[1:], strict=True))):
             continue
-        w = A._P0[path[0]] + sum(logb[0, t, s] for t, s in enumerate(path)) + sum(A._A[a, b] for a, b in zip(path[:-1], path[1:], strict=True))
+        steps = [A._A[0, 1] if a == b == 1 and apart[0, t + 1] else A._A[a, b] for t, (a, b) in enumerate(zip(path[:-1], path[1:], strict=True))]
+        w = A._P0[path[0]] + sum(logb[0, t, s] for t, s in enumerate(path)) + sum(steps) + A._P1[path[-1]]
         for t, s in enumerate(path):
             total[t, s] += math.exp(w)
     assert p[0] == pytest.approx(total / total.sum(axis=1, keepdims=True), abs=1e-9)
