@@ -4,13 +4,16 @@ Per source (episode) the slot of a reading is ``round((t - t0) * fps)``. Reading
 averaged channel by channel. Missing slots and missing elements are filled by iterating: embed the
 series of all channels (standardised) into Hankel trajectories, keep the leading singular vectors,
 average the anti-diagonals, replace the missing entries, until they change by less than ``tolerance``
-standard deviations. Filled slots are marked.
+standard deviations. Filled slots are marked, and so are those whose iteration was given up after
+``MOST_ROUNDS`` rounds before it converged.
 
 Execution: the first time of every source comes from a partially aggregated pre-pass. Sources are cut
 into pieces of ``PIECE`` seconds of absolute time, with ``HALO`` seconds of context on both sides, so
 that a source of any length is spread over many tasks; a piece also owns the gap before its first
 reading; where that starts comes from the pre-pass, and where it reaches beyond the context, the reading
-before it is looked up and joins the piece. One shuffle, on source and piece, moves the readings.
+before it is looked up and joins the piece. One shuffle, on source and piece, moves the readings. A piece of
+more than ``PORTION`` slots (a high rate) is filled in portions that start at readings and have ``CONTEXT`` slots
+of context on both sides; a single gap of more than ``PORTION`` slots is a straight line between its ends.
 
 Defined cases: readings whose time is null or not finite, or that have no element at all, take no slot,
 though a time without elements can still be the first time; repeated readings count once (they average
@@ -34,19 +37,20 @@ from kinegrain.sources.tables import STATE, c, clean_episodes, resolve_episodes
 PIECE = 600.0
 HALO = 4.0
 WINDOW = 10
-RANK = 3
+RANK = 2
 TOLERANCE = 1e-3
-MOST_ROUNDS = 50
-#: Slots of one output batch; long gaps are handed out in such portions.
+MOST_ROUNDS = 20_000
+#: Slots that are filled in one go; longer gaps are straight lines.
 PORTION = 50_000
+CONTEXT = 50 * WINDOW
 
 
-def ssa_fill(x: np.ndarray, window: int = WINDOW, rank: int = RANK, tolerance: float = TOLERANCE, rounds: int = MOST_ROUNDS) -> np.ndarray:
-    """``x`` (slots, channels) with NaN filled; observed entries keep their values."""
+def ssa_fill(x: np.ndarray, window: int = WINDOW, rank: int = RANK, tolerance: float = TOLERANCE, rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, bool]:
+    """``x`` (slots, channels) with NaN filled, and whether that converged; observed entries keep their values."""
     n, k = x.shape
     gone = np.isnan(x)
     if not gone.any():
-        return x
+        return x, True
     seen = (~gone).sum(axis=0)
     y = x.copy()
     at = np.arange(n)
@@ -57,30 +61,35 @@ def ssa_fill(x: np.ndarray, window: int = WINDOW, rank: int = RANK, tolerance: f
     use = np.flatnonzero((seen >= 4) & gone.any(axis=0))
     window = min(window, n // 2)
     if n < 8 or not len(use):
-        return y
+        return y, True
     every = np.flatnonzero(seen >= 4)
     z = y[:, every]
     mean, dev = z.mean(axis=0), z.std(axis=0)
     dev = np.where(dev > 1e-12, dev, 1.0)
     z = (z - mean) / dev
     hole = gone[:, every]
-    # only windows that touch a hole have to be rebuilt
+    # only windows that touch a hole change and have to be rebuilt
     touched = np.zeros(n, bool)
     touched[np.unique(np.nonzero(hole)[0])] = True
     m = n - window + 1
     span = np.convolve(touched, np.ones(window, int), "valid")[:m] > 0
     rows = np.flatnonzero(span)
+    views = np.lib.stride_tricks.sliding_window_view(z, window, axis=0)  # (m, channels, window)
+    rest = np.zeros((window, window))
+    others = np.flatnonzero(~span)
+    for a in range(0, len(others), 8192):
+        flat = views[others[a : a + 8192]].reshape(-1, window)
+        rest += flat.T @ flat
     count = np.zeros(n)
     for o in range(window):
         count[rows + o] += 1.0  # rows are distinct
     count = np.maximum(count, 1.0)[:, None]
     rank = min(rank, window)
     for _ in range(rounds):
-        h = np.lib.stride_tricks.sliding_window_view(z, window, axis=0)  # (m, channels, window)
-        flat = h.reshape(-1, window)
-        _, vec = np.linalg.eigh(flat.T @ flat)
+        flat = views[rows].reshape(-1, window)
+        _, vec = np.linalg.eigh(rest + flat.T @ flat)
         lead = vec[:, -rank:]
-        back = (h[rows] @ lead) @ lead.T
+        back = ((flat @ lead) @ lead.T).reshape(len(rows), -1, window)
         total = np.zeros_like(z)
         for o in range(window):
             total[rows + o] += back[:, :, o]  # rows are distinct
@@ -89,20 +98,22 @@ def ssa_fill(x: np.ndarray, window: int = WINDOW, rank: int = RANK, tolerance: f
         z[hole] = new
         if change < tolerance:
             break
+    else:
+        change = np.inf
     out = y.copy()
     out[:, every] = np.where(hole, z * dev + mean, y[:, every])
-    return out
+    return out, bool(change < tolerance)
 
 
-_GRID = pa.schema([("episode_index", pa.int64()), ("slot_index", pa.int64()), ("grid_time", pa.float64()), ("state", pa.list_(pa.float64())), ("filled", pa.bool_()), ("n_readings", pa.int32())])
-GRID_DDL = "episode_index bigint, slot_index bigint, grid_time double, state array<double>, filled boolean, n_readings int"
+_GRID = pa.schema([("episode_index", pa.int64()), ("slot_index", pa.int64()), ("grid_time", pa.float64()), ("state", pa.list_(pa.float64())), ("filled", pa.bool_()), ("n_readings", pa.int32()), ("converged", pa.bool_())])
+GRID_DDL = "episode_index bigint, slot_index bigint, grid_time double, state array<double>, filled boolean, n_readings int, converged boolean"
 
 
-def _as_batch(ep: int, slot: np.ndarray, t0: float, fps: float, state: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+def _as_batch(ep: int, slot: np.ndarray, t0: float, fps: float, state: np.ndarray, count: np.ndarray, converged: bool) -> pa.RecordBatch:
     n, k = state.shape
     flat = pa.array(state.ravel(), pa.float64(), from_pandas=True)  # NaN is null
     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), flat)
-    cols = [pa.array(np.full(n, ep)), pa.array(slot), pa.array(t0 + slot / fps), lists, pa.array(count == 0), pa.array(count.astype(np.int32))]
+    cols = [pa.array(np.full(n, ep)), pa.array(slot), pa.array(t0 + slot / fps), lists, pa.array(count == 0), pa.array(count.astype(np.int32)), pa.array(np.full(n, converged))]
     return pa.RecordBatch.from_arrays(cols, schema=_GRID)
 
 
@@ -115,40 +126,51 @@ def _fill_piece(ep: int, t0: float, fps: float, before: int | None, slot: np.nda
     last = int(own.max())
     if last < first:
         return
-    far = int(WINDOW * 50)
-    lo, hi = max(int(slot.min()), first - far), min(int(slot.max()), last + far)
-    # a gap that is far longer than a window is handed out in portions, straight between its ends
-    a = lo
-    uniq = np.unique(slot)
-    cuts = [lo]
-    for g in np.flatnonzero(np.diff(uniq) > PORTION):
-        cuts += [int(uniq[g]) + 1, int(uniq[g + 1])]
-    cuts.append(hi + 1)
+    near = (slot >= first - CONTEXT) & (slot <= last + CONTEXT)
+    slot, state = slot[near], state[near]
+    order = np.argsort(slot, kind="stable")
+    slot, state = slot[order], state[order]
     k = state.shape[1]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        pieces = range(a, b, PORTION)
-        for s in pieces:
-            e = min(s + PORTION, b)
-            inside = (slot >= s) & (slot < e)
-            total, seen, count = np.zeros((e - s, k)), np.zeros((e - s, k)), np.zeros(e - s, np.int64)
-            if inside.any():
-                v = state[inside]
-                ok = np.isfinite(v)
-                np.add.at(total, slot[inside] - s, np.where(ok, v, 0.0))
-                np.add.at(seen, slot[inside] - s, ok)
-                np.add.at(count, slot[inside] - s, 1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    grid = ssa_fill(np.where(seen > 0, total / seen, np.nan))
-            else:
-                left, right = state[slot < s], state[slot >= e]
-                one = left[-1] if len(left) else right[0]
-                other = right[0] if len(right) else one
-                w = ((np.arange(s, e) - a + 1) / (b - a + 1))[:, None]
-                grid = one * (1 - w) + other * w
-            at = np.arange(s, e)
-            keep = (at >= first) & (at <= last)
-            if keep.any():
-                yield _as_batch(ep, at[keep], t0, fps, grid[keep], count[keep])
+
+    def out(at: np.ndarray, grid: np.ndarray, count: np.ndarray, converged: bool) -> Iterator[pa.RecordBatch]:
+        keep = (at >= first) & (at <= last)
+        if keep.any():
+            yield _as_batch(ep, at[keep], t0, fps, grid[keep], count[keep], converged)
+
+    before_gap: int | None = None
+    for occupied in np.split(np.unique(slot), np.flatnonzero(np.diff(np.unique(slot)) > PORTION) + 1):
+        a, b = int(occupied[0]), int(occupied[-1]) + 1
+        if before_gap is not None:
+            one, other = _ends(state[slot <= before_gap][::-1]), _ends(state[slot >= a])
+            one, other = np.where(np.isnan(one), other, one), np.where(np.isnan(other), one, other)
+            for s in range(before_gap + 1, a, PORTION):
+                at = np.arange(s, min(s + PORTION, a))
+                w = ((at - before_gap) / (a - before_gap))[:, None]
+                yield from out(at, one * (1 - w) + other * w, np.zeros(len(at), np.int64), True)
+        before_gap = b - 1
+        s = a
+        while s < b:
+            at = np.searchsorted(occupied, s + PORTION)
+            e = int(occupied[at]) if at < len(occupied) else b
+            # the context starts and ends at a reading too
+            lo = int(occupied[max(0, np.searchsorted(occupied, s - CONTEXT, side="right") - 1)])
+            hi = int(occupied[min(len(occupied) - 1, np.searchsorted(occupied, e + CONTEXT))]) + 1
+            i, j = np.searchsorted(slot, lo), np.searchsorted(slot, hi)
+            total, seen, count = np.zeros((hi - lo, k)), np.zeros((hi - lo, k)), np.zeros(hi - lo, np.int64)
+            ok = np.isfinite(state[i:j])
+            np.add.at(total, slot[i:j] - lo, np.where(ok, state[i:j], 0.0))
+            np.add.at(seen, slot[i:j] - lo, ok)
+            np.add.at(count, slot[i:j] - lo, 1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                grid, converged = ssa_fill(np.where(seen > 0, total / seen, np.nan))
+            yield from out(np.arange(s, e), grid[s - lo : e - lo], count[s - lo : e - lo], converged)
+            s = e
+
+
+def _ends(rows: np.ndarray) -> np.ndarray:
+    """The first reading of each channel; NaN where there is none."""
+    ok = np.isfinite(rows)
+    return np.where(ok.any(axis=0), rows[ok.argmax(axis=0), np.arange(rows.shape[1])], np.nan)
 
 
 def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

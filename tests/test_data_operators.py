@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinegrain.operators import anomalies as A
 from kinegrain.operators import compaction as C
@@ -268,12 +269,50 @@ def test_rows_of_one_table(spark):
     assert got[1].state == [1.5, None] and got[1].n == 3 and got[1].role_joint_state == "[1.5,null]"
     assert got[2].q == [2.0] and got[2].n is None and got[2].state is None
     assert got[3].broken and got[3].q is None and got[4].broken
+    assert got[2].lost == ["n"] and got[1].lost == [] and got[3].lost == []
+
+
+def test_casts_keep_what_the_lattice_promises(spark):
+    headers = [(["a", "b", "c", "d"], ["bool", "int", "int", "list<bool>"]), (["a", "b", "c", "d"], ["int64", "bigint", "float64", "array<int32>"])]
+    schemas = spark.createDataFrame([snap(k, k, *h) for k, h in enumerate(headers)], SCHEMAS)
+    text = ['{"a":true,"b":3.0,"c":9007199254740993,"d":[true,2,null]}', '{"a":7,"b":9007199254740993,"c":2.5,"d":[false,"x"]}', '{"a":"no","b":3.5,"c":null,"d":5}']
+    rows = spark.createDataFrame([(k, "d", 1, k, t) for k, t in enumerate(text)], "row_id bigint, dataset_id string, snapshot_id bigint, line_no int, record_json string")
+    got = {r.row_id: r for r in D.consistent_rows(rows, schemas).collect()}
+    assert (got[0].a, got[0].b, got[0].d) == (1, 3, [1, 2, None]) and got[0].lost == ["c"]
+    assert (got[1].a, got[1].b, got[1].c, got[1].d) == (7, 9007199254740993, 2.5, [0, None]) and got[1].lost == ["d"]
+    assert (got[2].a, got[2].b, got[2].c, got[2].d) == (None, None, None, None) and got[2].lost == ["a", "b", "d"]
+    cells = {(r.row_id, r.key_name): (r.value, r.lost) for r in D.consistent_cells(rows, schemas).collect()}
+    assert cells[0, "a"] == ("1", False) and cells[0, "d"] == ("[1,2,null]", False) and cells[2, "b"] == (None, True)
+    assert {r.key_name: (r.n_values, r.n_lost) for r in D.lost_values(rows, schemas).collect()} == {"a": (3, 1), "b": (3, 1), "c": (3, 1), "d": (3, 2)}
+    with pytest.raises(ValueError, match="consistent_cells"):
+        D.consistent_rows(rows, schemas, most_keys=3)
+
+
+def test_lattice_of_columns_is_that_of_names(spark):
+    kinds = [*sorted(set(D.SPELLINGS.values())), "array<int>", "array<boolean>", "array<array<float>>", "date"]
+    pairs = spark.createDataFrame([(a, b) for a in [*kinds, "null"] for b in [*kinds, "null"]], "a string, b string")
+    for r in pairs.select("a", "b", D.promote_types(F.col("a"), F.col("b")).alias("met")).collect():
+        none = lambda t: None if t == "null" else t
+        assert r.met == (D.promote(none(r.a), none(r.b)) or "null"), r
+
+
+def test_verdicts(spark):
+    types = ["int", "bigint", "int", "string", "float32", "int"]
+    schemas = spark.createDataFrame([snap(k, k, ["x"], [t]) for k, t in enumerate(types)], SCHEMAS)
+    got = [(r.was, r.now, r.verdict) for r in D.schema_changes(schemas).orderBy("snapshot_id").collect()]
+    assert got == [("int", "bigint", "widened"), ("bigint", "int", "narrowed"), ("int", "string", "widened"), ("string", "float", "narrowed"), ("float", "int", "merged")]
 
 
 def test_headers(spark, tmp_path):
-    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "p"))
-    files = [str(p) for p in (tmp_path / "p").glob("*.parquet")]
-    assert [(r["keys"], r.types) for r in D.read_headers(spark, files).collect()] == [(["id"], ["int64"])]
+    spark.range(3).selectExpr("id", "array(cast(id as float)) as a", "true as b", "date'2020-01-01' as c").coalesce(1).write.parquet(str(tmp_path / "deep" / "er" / "p"))
+    spark.range(3).selectExpr("cast(id as int) as id", "1.5D as a").coalesce(1).write.parquet(str(tmp_path / "q"))
+    (tmp_path / "broken.parquet").write_bytes(b"no parquet")
+    files = D.list_files(spark, str(tmp_path))
+    got = {r.path.rsplit("/", 2)[-2]: (r["keys"], r.types) for r in D.read_headers(files).collect()}
+    assert got["p"] == (["id", "a", "b", "c"], ["bigint", "array<float>", "boolean", "date"]) and got["q"] == (["id", "a"], ["int", "double"])
+    assert [v for k, v in got.items() if k not in "pq"] == [(None, None)]
+    cells = D.read_headers(files).select(F.explode(F.arrays_zip("keys", "types")).alias("z")).select(F.col("z.keys").alias("key_name"), F.col("z.types").alias("type"))
+    assert {r.key_name: r.key_type for r in D.fold_types(cells).collect()} == {"id": "bigint", "a": "string", "b": "boolean", "c": "date"}
 
 
 # ---- grids -----------------------------------------------------------------------------------
@@ -325,6 +364,34 @@ def test_imputation_keeps_what_was_seen():
     x = np.stack([np.sin(t / 6), np.cos(t / 9)], axis=1)
     y = x.copy()
     y[60:66, 0] = np.nan
-    out = G.ssa_fill(y)
-    assert np.array_equal(out[~np.isnan(y)], x[~np.isnan(y)]) and np.abs(out - x).max() < 0.1
-    assert np.isnan(G.ssa_fill(np.full((9, 1), np.nan))).all()
+    out, converged = G.ssa_fill(y)
+    assert converged and np.array_equal(out[~np.isnan(y)], x[~np.isnan(y)]) and np.abs(out - x).max() < 0.1
+    assert np.isnan(G.ssa_fill(np.full((9, 1), np.nan))[0]).all()
+
+
+@pytest.mark.parametrize("gap", [10, 20, 30])
+def test_long_gaps_are_iterated_to_the_end(gap):
+    t = np.arange(600) / 30
+    x = np.stack([np.sin((1 + k / 3) * t) + 0.5 * np.cos((2.3 - k / 5) * t) for k in range(6)], axis=1)
+    x[200 : 200 + gap] = np.nan
+    out, converged = G.ssa_fill(x)
+    best, _ = G.ssa_fill(x, tolerance=1e-6)
+    assert converged and np.abs(out - best).max() < 0.2 and not G.ssa_fill(x, rounds=5)[1]
+
+
+def test_portions_of_a_piece_have_context(monkeypatch):
+    rng = np.random.default_rng(0)
+    slot = np.flatnonzero(rng.random(6000) > 0.2)
+    slot = slot[(slot < 2000) | (slot > 2100)]
+    state = np.stack([np.sin(slot / 30), np.cos(slot / 50)], axis=1)
+
+    def filled():
+        got = [b for b in G._fill_piece(1, 0.0, 30.0, None, slot, state, np.ones(len(slot), bool))]
+        at = np.concatenate([b.column("slot_index").to_numpy() for b in got])
+        assert np.array_equal(at, np.arange(slot[0], slot[-1] + 1))
+        return np.array([v for b in got for v in b.column("state").to_pylist()])
+
+    whole = filled()
+    monkeypatch.setattr(G, "PORTION", 700)
+    cut = filled()
+    assert np.abs(cut - whole).max() < 0.02
