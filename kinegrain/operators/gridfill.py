@@ -3,8 +3,8 @@
 Per source (episode) the slot of a reading is ``round((t - t0) * fps)``. Readings of one slot are
 averaged channel by channel. Missing slots and missing elements are filled by iterating: embed the
 series of all channels (standardised) into Hankel trajectories, keep the leading singular vectors,
-average the anti-diagonals, replace the missing entries, until they change by less than ``tolerance``
-standard deviations. Filled slots are marked, and so are those whose iteration was given up after
+average the anti-diagonals, replace the missing entries, until what is left to go (as told by the rate at
+which the changes shrink) is less than ``tolerance`` standard deviations. Filled slots are marked, and so are those whose iteration was given up after
 ``MOST_ROUNDS`` rounds before it converged.
 
 Execution: the first time of every source comes from a partially aggregated pre-pass. Sources are cut
@@ -85,7 +85,8 @@ def ssa_fill(x: np.ndarray, window: int = WINDOW, rank: int = RANK, tolerance: f
         count[rows + o] += 1.0  # rows are distinct
     count = np.maximum(count, 1.0)[:, None]
     rank = min(rank, window)
-    for _ in range(rounds):
+    left, before = np.inf, 0.0
+    for r in range(rounds):
         flat = views[rows].reshape(-1, window)
         _, vec = np.linalg.eigh(rest + flat.T @ flat)
         lead = vec[:, -rank:]
@@ -93,16 +94,21 @@ def ssa_fill(x: np.ndarray, window: int = WINDOW, rank: int = RANK, tolerance: f
         total = np.zeros_like(z)
         for o in range(window):
             total[rows + o] += back[:, :, o]  # rows are distinct
-        new = (total / count)[hole]
-        change = np.abs(new - z[hole]).max()
-        z[hole] = new
-        if change < tolerance:
+        step = (total / count)[hole] - z[hole]
+        size = float(np.sqrt(step @ step))
+        rate = min(size / before, 0.98) if before else 0.5
+        before = size
+        # steps shrink by a rate, so what is left is their geometric sum
+        left = np.abs(step).max() / (1 - rate)
+        z[hole] += step
+        if left < tolerance:
             break
-    else:
-        change = np.inf
+        if r % 8 == 7:
+            z[hole] += step * rate / (1 - rate)
+            before = 0.0
     out = y.copy()
     out[:, every] = np.where(hole, z * dev + mean, y[:, every])
-    return out, bool(change < tolerance)
+    return out, bool(left < tolerance)
 
 
 _GRID = pa.schema([("episode_index", pa.int64()), ("slot_index", pa.int64()), ("grid_time", pa.float64()), ("state", pa.list_(pa.float64())), ("filled", pa.bool_()), ("n_readings", pa.int32()), ("converged", pa.bool_())])
