@@ -10,7 +10,8 @@ capacity, and the rest is an item like any other.
 Execution: sizes are counted once and written to the shared folder (a few bytes per text). Items are
 spread by the hash of their key over groups of about ``GROUP`` containers, so the work splits over any
 number of tasks, a packer's memory doesn't grow with the data, and the outcome depends neither on the
-number of tasks nor on the order of arrival.
+number of tasks nor on the order of arrival. Groups go through at most ``TASKS`` tasks, each of which packs one
+group after the other.
 
 Defined cases: texts without tokens (null, empty) need no room; they come out with a null container and
 zero tokens. Repeated rows are items of their own. Null keys are packed like others. An empty table or
@@ -33,6 +34,7 @@ from kinegrain.runtime import materialize
 OPEN = 256
 GROUP = 4096
 MOST_TARGETS = 1000
+TASKS = 4096
 
 
 class Packer:
@@ -160,7 +162,7 @@ def fill_containers(docs: DataFrame, targets: DataFrame, key: str = "doc_id", te
         items = (
             sizes.select(F.col(key).alias("__key"), "n_tokens", mark.alias("__mark"), F.explode(goals).alias("g"))
             .select("g.target_name", F.pmod("__mark", "g.n").alias("group"), "g.capacity", "__key", "n_tokens", F.xxhash64(F.lit(5), "__mark").alias("__order"))
-            .repartition(max(1, sum(n for _, _, n in groups)), "target_name", "group")
+            .repartition(min(TASKS, max(1, sum(n for _, _, n in groups))), "target_name", "group")
             .sortWithinPartitions("target_name", "group", "__order", "__key", "n_tokens")
             .select("target_name", "group", "capacity", "__key", "n_tokens")
         )

@@ -8,10 +8,11 @@ starting at the first or the second in turn. A collapse into level ``l`` shifts
 Sketches add like binary numbers, so any tree of merges keeps the bound
 ``n / (2 * SIZE) * log2(n / SIZE)`` or less. Up to ``SIZE`` values the result is exact.
 
-Execution: records are made distinct by their id (one shuffle), sorted by group within a partition
-and summed up as they stream by, one sketch in memory at a time. Sketches meet in two rounds, first
-within ``SALT`` shares of a group and then per group, again as a stream, so a group that holds a third
-of all rows is neither collected nor a bottleneck.
+Execution: records are made distinct by their id within ``BUCKETS`` buckets of ids (one shuffle), sorted by
+group, bucket and value within a partition and summed up as they stream by, one sketch in memory at a time.
+Sketches meet in two rounds, first within ``SALT`` shares of a group and then per group, again as a stream and
+in the order of their contents, so a group that holds a third of all rows is neither collected nor a bottleneck,
+and the result depends neither on the number of partitions nor on the order of arrival.
 
 Defined cases: null and NaN values are left out, infinite and negative ones are values like others; a
 null label or date is a group of its own; repeated ids count once (of differing rows the smallest);
@@ -31,6 +32,9 @@ from pyspark.sql import types as T
 
 SIZE = 2048
 SALT = 32
+#: Shares of the ids that are summed up apart: the most tasks that read raw values. A parameter, as results depend on it (within the stated
+#: error): set it to the cores of the cluster where groups have many thousand values each.
+BUCKETS = 64
 
 
 class Sketch:
@@ -154,7 +158,7 @@ def _sum_up(df: DataFrame, keys: list[str], last: str, size: int) -> DataFrame:
     fields = [df.schema[k] for k in keys]
     ddl = T.StructType([*fields, T.StructField("sketch", T.BinaryType())])
     run = _stream(len(keys), keys, [to_arrow_type(f.dataType) for f in fields], size)
-    return df.sortWithinPartitions(*keys).select(*keys, last).mapInArrow(run, ddl)
+    return df.sortWithinPartitions(*keys, last).select(*keys, last).mapInArrow(run, ddl)
 
 
 def merge_sketches(sketches: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
@@ -164,17 +168,18 @@ def merge_sketches(sketches: DataFrame, keys: list[str], size: int = SIZE) -> Da
     return _sum_up(near.select(*keys, "sketch").repartition(*keys), keys, "sketch", size)
 
 
-def sketch_groups(df: DataFrame, keys: dict[str, Column], value: Column, record_id: str, size: int = SIZE) -> DataFrame:
+def sketch_groups(df: DataFrame, keys: dict[str, Column], value: Column, record_id: str, size: int = SIZE, buckets: int = BUCKETS) -> DataFrame:
     """One sketch of ``value`` per group of ``keys`` (name to expression), each ``record_id`` once."""
     v = value.cast("double")
     one = (
         df.where(F.col(record_id).isNotNull() & v.isNotNull() & ~F.isnan(v))
-        .select(F.col(record_id).alias("__id"), *[e.alias(k) for k, e in keys.items()], v.alias("__value"))
-        .groupBy("__id")
+        .select(F.pmod(F.xxhash64(record_id), F.lit(buckets)).alias("__bucket"), F.col(record_id).alias("__id"), *[e.alias(k) for k, e in keys.items()], v.alias("__value"))
+        .repartition("__bucket")
+        .groupBy("__bucket", "__id")
         .agg(F.min(F.struct("__value", *keys)).alias("r"))
-        .select("r.*")
+        .select("__bucket", "r.*")
     )
-    return merge_sketches(_sum_up(one, [*keys], "__value", size), [*keys], size)
+    return merge_sketches(_sum_up(one, [*keys, "__bucket"], "__value", size), [*keys], size)
 
 
 def percentiles(sketches: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:

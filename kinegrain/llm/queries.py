@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinegrain.llm.packing import fill_containers
-from kinegrain.llm.quantiles import duration_sketches, merge_sketches, percentiles
+from kinegrain.llm.quantiles import duration_sketches, label_of, merge_sketches, percentiles
 from kinegrain.llm.residue import residue, without_residue
 from kinegrain.llm.splits import episode_groups, split_frames
 from kinegrain.llm.tokens import encode_texts
@@ -28,6 +28,22 @@ def p1_label_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(merge_sketches(days, ["label"]), ["label"], QUANTILES)
 
 
+def p1_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each label, its values, and how many of its percentiles, merged from those of its days, are off by more than the stated error."""
+    found = p1_label_percentiles(spark, sf_dir)
+    d = F.col("duration")
+    one = table(spark, sf_dir, "segments").where(F.col("segment_id").isNotNull() & d.isNotNull() & ~F.isnan(d)).select("segment_id", label_of(F.col("label")).alias("label"), "duration").distinct()
+    names = [c for c in found.columns if c[0] == "p" and c[1:].isdigit()]
+    joined = one.join(found, one["label"].eqNullSafe(found["label"])).select(one["label"], "duration", "n", "rank_error", *names)
+    counts = [x for c in names for x in (F.sum((d < F.col(c)).cast("bigint")).alias(f"{c}_below"), F.sum((d <= F.col(c)).cast("bigint")).alias(f"{c}_upto"))]
+    ranked = joined.groupBy("label", "n", "rank_error").agg(*counts)
+    off = sum(
+        ((F.col(f"{c}_below") + 1 - F.greatest(F.lit(1), F.ceil(q * F.col("n") - 1e-9)) > F.col("rank_error")) | (F.greatest(F.lit(1), F.ceil(q * F.col("n") - 1e-9)) - F.col(f"{c}_upto") > F.col("rank_error"))).cast("bigint")
+        for c, q in zip(names, QUANTILES, strict=True)
+    )
+    return ranked.select("label", "n", off.alias("violations"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = episode_groups(table(spark, sf_dir, "episodes"))
     return g.where("episode_index <> `group`").select(F.col("group").alias("episode_index_a"), F.col("episode_index").alias("episode_index_b"))
@@ -66,11 +82,13 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_residue(table(spark, sf_dir, "documents")).select("doc_id", "repo", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_label_percentiles, p6_found, p6_frames, p7_ids, p8_containers, p8_fill, p9_found, p9_kinds, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_label_percentiles, p1_rank_errors, p6_found, p6_frames, p7_ids, p8_containers, p8_fill, p9_found, p9_kinds, p9_clean)}
 
 # At the size of the comparison every group of a label and a day has fewer values than a sketch holds, so the percentiles are exact.
 _P = ", ".join(f"quantile_disc(duration, {q}) AS p{round(q * 100)}" for q in QUANTILES)
 SQL = {
+    "p1_rank_errors": """WITH s AS (SELECT DISTINCT segment_id, lower(trim(label)) AS label, duration FROM segments WHERE segment_id IS NOT NULL AND duration IS NOT NULL AND NOT isnan(duration))
+SELECT label, count(*) AS n, CAST(0 AS BIGINT) AS violations FROM s GROUP BY 1""",
     "p1_percentiles": f"""WITH s AS (SELECT segment_id, lower(trim(label)) AS label, run_date, duration FROM segments WHERE segment_id IS NOT NULL AND duration IS NOT NULL AND NOT isnan(duration)),
   one AS (SELECT DISTINCT * FROM s)
 SELECT label, CAST(run_date AS VARCHAR) AS run_date, count(*) AS n, {_P}, CAST(0 AS DOUBLE) AS rank_error FROM one GROUP BY 1, 2""",

@@ -145,7 +145,20 @@ def vocabulary_path(name: str, folder: str = VOCABULARIES) -> str:
     return os.path.join(folder, f"{name}.tiktoken")
 
 
-def _encoder(path: str, counts_only: bool):
+def _ship(df: DataFrame, path: str):
+    """A function that tells workers where the vocabulary is: at ``path``, or else in the files of the application, whereto the driver ships it."""
+    if os.path.exists(path):
+        df.sparkSession.sparkContext.addFile(path)
+
+    def where() -> str:
+        from pyspark import SparkFiles
+
+        return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+    return where
+
+
+def _encoder(where, counts_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import importlib
 
@@ -153,9 +166,9 @@ def _encoder(path: str, counts_only: bool):
 
         # the module's own registry where workers have the package, else one of this task
         try:
-            code = importlib.import_module("kinegrain.llm.tokens").codec(path)
+            code = importlib.import_module("kinegrain.llm.tokens").codec(where())
         except ImportError:
-            code = codec(path)
+            code = codec(where())
         for batch in batches:
             texts = batch.column(1).to_pylist()
             if counts_only:
@@ -174,24 +187,24 @@ def _encoder(path: str, counts_only: bool):
 def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """``key`` and ``ids`` (array of int) of every row."""
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key), F.col(text)).mapInArrow(_encoder(vocabulary_path(tokenizer, folder), False), f"__key {kind}, __value array<int>")
+    out = docs.select(F.col(key), F.col(text)).mapInArrow(_encoder(_ship(docs, vocabulary_path(tokenizer, folder)), False), f"__key {kind}, __value array<int>")
     return out.select(F.col("__key").alias(key), F.col("__value").alias("ids"))
 
 
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """``key`` and ``n_tokens`` (null for a null text) of every row."""
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key), F.col(text)).mapInArrow(_encoder(vocabulary_path(tokenizer, folder), True), f"__key {kind}, __value bigint")
+    out = docs.select(F.col(key), F.col(text)).mapInArrow(_encoder(_ship(docs, vocabulary_path(tokenizer, folder)), True), f"__key {kind}, __value bigint")
     return out.select(F.col("__key").alias(key), F.col("__value").alias("n_tokens"))
 
 
 def decode_ids(rows: DataFrame, key: str = "doc_id", ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """``key`` and ``text`` of every row of ids; null ids are a null text."""
     kind = rows.schema[key].dataType.simpleString()
-    path = vocabulary_path(tokenizer, folder)
+    where = _ship(rows, vocabulary_path(tokenizer, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = codec(path)
+        code = codec(where())
         for batch in batches:
             texts = [None if x is None else code.decode(x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["__key", "__value"])

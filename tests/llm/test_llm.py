@@ -70,6 +70,24 @@ def test_small_groups_are_exact():
 SEGMENTS = "segment_id bigint, label string, run_date date, duration double, extra int"
 
 
+def test_percentiles_dont_depend_on_the_layout(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "a" if i % 3 else "b", float(x)) for i, x in enumerate(rng.gamma(2.0, 3.0, 30000))]
+    df = spark.createDataFrame(rows, "id bigint, g string, v double")
+    found = set()
+    for n in (3, 8, 13):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        sketches = Q.sketch_groups(df.repartition(n), {"g": F.col("g")}, F.col("v"), "id", 64)
+        found.add(tuple(sorted(tuple(r) for r in Q.percentiles(sketches, ["g"], [0.1, 0.5, 0.99]).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(found) == 1
+    for g, n, *got, error in found.pop():
+        own = np.sort([v for _, k, v in rows if k == g])
+        assert n == len(own) and 0 < error < n / 10
+        for q, v in zip((0.1, 0.5, 0.99), got, strict=True):
+            assert abs(np.searchsorted(own, v) + 1 - np.ceil(q * n)) <= error
+
+
 def test_durations(spark):
     d = dt.date(2025, 1, 1)
     rng = np.random.default_rng(3)
@@ -193,6 +211,20 @@ def test_packer_is_best_fit():
     assert sum(s for c in p.closed for _, s in c) == 6 + 7 + 3 + 4 + 9 + 8 + 5 and p.n_open == 0
 
 
+@pytest.mark.parametrize("spread", ["short", "long", "mixed"])
+def test_little_room_is_left(spread):
+    rng = np.random.default_rng(6)
+    sizes = {"short": rng.integers(1, 120, 20000), "long": rng.integers(300, 700, 20000), "mixed": np.minimum(1024, rng.lognormal(5, 1.2, 20000).astype(int) + 1)}[spread]
+    p = P.Packer(1024)
+    for i, n in enumerate(sizes.tolist()):
+        p.add(n, (i, n))
+    p.finish()
+    full = [sum(n for _, n in items) for items in p.closed]
+    assert sum(full) == sizes.sum() and max(full) <= 1024
+    least = {"short": 0.99, "long": 0.9, "mixed": 0.985}[spread]
+    assert sum(full) / (1024 * len(full)) > least
+
+
 def test_containers(spark):
     rng = random.Random(5)
     docs = [(i, " a" * rng.choice([1, 5, 30, 90]), 1) for i in range(400)] + [(900, " a" * 250, 1), (901, None, 1), (902, "", 1), (1, " a" * 5, 1)]
