@@ -330,3 +330,34 @@ def test_subtraction_joins_nothing(spark):
     assert found(spark, [f"Add {'a' * (i + 1)}\n\n## Why\nSame as before.\n(see the log)" for i in range(60)]) == {}
     # whole lines of evidence stay when slots are given up
     assert found(spark, ["404 - page not found\nTry again."] * 20, share=0.5, least=10) == {i: {"error"} for i in range(20)}
+
+
+HELD_OUT = {
+    "error": (
+        "410 Gone", "HTTP 429: Too Many Requests", "HTTP/1.1 502 Bad Gateway", "Error 451 - Unavailable For Legal Reasons", "507 Insufficient Storage", "The page you requested could not be found.", "This site can't be reached", "Sorry, the service is temporarily unavailable",
+        "The server is not responding", "Die angeforderte Seite wurde nicht gefunden", "Der Dienst ist derzeit nicht verfügbar", "La page demandée est introuvable", "Le service est temporairement indisponible", "La página solicitada no existe", "El servicio no está disponible",
+        "A página solicitada não foi encontrada", "Запрошенная страница не найдена", "Сервис временно недоступен", "お探しのページは見つかりませんでした", "您访问的页面不存在",
+    ),
+    "script": (
+        "Please activate JavaScript in order to use this site.", "This content requires JavaScript to be enabled.", "JavaScript must be turned on to proceed.", "Your web browser has scripting disabled.", "We're sorry, but this website needs scripts to be allowed.", "Diese Seite benötigt JavaScript.",
+        "Ihr Browser hat JavaScript deaktiviert.", "Votre navigateur a désactivé JavaScript.", "Este sitio requiere JavaScript para mostrar el contenido.", "Seu navegador está com o JavaScript desativado.", "Для работы сайта требуется JavaScript.", "В вашем браузере отключён JavaScript.",
+        "このページは JavaScript が必要です。", "ブラウザの JavaScript が無効になっています。", "您的浏览器禁用了 JavaScript。", "本网站需要启用脚本。",
+    ),
+    "filler": ("Insert your text here.", "Add a description here", "Your headline goes here", "Sample text here. Sample text here.", "Hier bitte Text einfügen.", "Insérez votre texte ici.", "Escriba su texto aquí.", "Digite o seu texto aqui.", "Введите текст здесь."),
+}
+GENUINE = (
+    "Handle 404 not found in the mirror client", "Return 502 when the upstream resets", "Enable JavaScript source maps in the release build", "Drop the script that needs root", "Allow scripts to read the new limits", "Show a notice when scripts are blocked", "Add text here and there in the guide",
+    "The server is restarted after each upload", "Make the page work without JavaScript", "Insert a newline after the header", "Page numbers start at one now", "Service names are no longer cached", "Write the summary to disk", "js: move the loader to its own file", "Require scripts to name their inputs",
+    "Seite der Fehlerliste nach oben verschoben", "Le service lit la page suivante", "La página de ayuda enlaza al manual", "Страница помощи обновлена", "ページの余白を直す",
+)
+
+
+def test_wordings_that_no_list_holds(spark):
+    """Of held-out wordings at least nine in ten are found, and genuine subjects near them aren't."""
+    texts = [(k, w) for k, ws in HELD_OUT.items() for w in ws] + [("none", w) for w in GENUINE]
+    docs = spark.createDataFrame([(i, f"Title of the change\n\n{w}\n", f"r{i}", "s") for i, (_, w) in enumerate(texts)], "doc_id bigint, text string, repo string, source string")
+    found = {r.doc_id: r for r in R.evidence(docs).collect()}
+    for kind, words in HELD_OUT.items():
+        hit = [w for i, (k, w) in enumerate(texts) if k == kind and found[i][kind]]
+        assert len(hit) >= 0.9 * len(words), set(words) - set(hit)
+    assert [w for i, (k, w) in enumerate(texts) if k == "none" and any(found[i][x] for x in ("placeholder", "filler", "error", "script"))] == []
