@@ -23,6 +23,9 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--n-episodes", type=int)
     d.add_argument("--seed", type=int)
     d.add_argument("--modalities", nargs="+", default=["joint", "joint_command"])
+    d.add_argument("--urdf")
+    d.add_argument("--ee-frame")
+    d.add_argument("--tolerance", type=float, default=5.0)
     d.add_argument("--output", required=True)
     return p
 
@@ -58,13 +61,19 @@ def run_text(spark, args) -> int:
 
 
 def run_dataset(spark, args) -> int:
-    """Schema report, boundaries, comparison table and report of a dataset's (sampled) episodes."""
+    """Schema report, boundaries, comparison tables, nested results and report of a dataset's (sampled) episodes.
+
+    Sections of the YAML file: dataset, features, ruptures, sktime (enabled), ticc (enabled), kinematics (urdf, frame).
+    """
     from pyspark.sql import functions as F
 
-    from kinegrain.config import change_config, modalities, read_yaml
-    from kinegrain.operators.report import boundary_strings, comparison_markdown, selected_ids_json, write_csv
+    from kinegrain.config import change_config, enabled, feature_config, modalities, primitive_config, read_yaml
+    from kinegrain.functions.segmenters import AVAILABLE
+    from kinegrain.operators.kernels import forward_kinematics
+    from kinegrain.operators.report import boundary_strings, comparison_markdown, selected_ids_json, write_csv, write_json
     from kinegrain.operators.sampling import systematic_sample
-    from kinegrain.plans.pipeline import pipeline_boundaries, pipeline_summary
+    from kinegrain.plans.pipeline import mean_runtimes, method_rows, pipeline_summary, process_recordings, skipped
+    from kinegrain.runtime import materialize
     from kinegrain.sources.datasets import inspect_dataset, list_episodes, load_frames
 
     cfg = read_yaml(args.config)
@@ -82,17 +91,32 @@ def run_dataset(spark, args) -> int:
     (out / "selected_episode_ids.json").write_text(selected_ids_json(chosen))
     frames = load_frames(spark, schema, fill_policy="ffill_drop").join(chosen.select("episode_id"), "episode_id", "left_semi")
     names, notes = modalities(args.modalities)
-    parts = ["\n".join(["# Segmentation", "", *[f"- {x}" for x in notes]])]
+    moves = cfg.get("kinematics", {})
+    urdf, tip = args.urdf or moves.get("urdf"), args.ee_frame or moves.get("frame")
+    if "cartesian" in names and schema.keys["ee_pose"] is None:
+        if urdf and tip:
+            frames = forward_kinematics(frames, "q", Path(urdf).read_text(), schema.state_names, tip)
+        else:
+            notes.append("cartesian: no pose column, and no model and frame to work it out")
+    segmenters = AVAILABLE if enabled(cfg, "sktime") else ()
+    primitive = primitive_config(cfg) if enabled(cfg, "ticc") else None
+    frames = materialize(frames, "frames")
+    parts = ["\n".join(["# Segmentation", "", f"{schema.path}: {schema.n_episodes} episodes, {n} chosen", "", *[f"- {x}" for x in notes]])]
+    whole = None
     for m in names:
-        if m == "cartesian" and schema.keys["ee_pose"] is None:
-            parts.append(f"## {m}\n\nskipped: no pose column")
-            continue
-        v = {"joint": F.col("q"), "joint_command": F.concat("q", "q_cmd"), "cartesian": F.col("ee_pose")}[m]
-        found = pipeline_boundaries(frames.select("episode_id", "frame_idx", v.alias("v")), "episode_id", "frame_idx", "v", change_config(cfg), ("pelt", "binseg"))
-        write_csv(boundary_strings(found, ["episode_id", "method", "status", "error"]).withColumn("modality", F.lit(m)), str(out / f"boundaries_{m}.csv"))
-        stats, pairs = pipeline_summary(found, "episode_id", schema.fps)
+        channels = schema.command_names if m == "joint_command" else schema.state_names
+        results = materialize(process_recordings(frames, "episode_id", "frame_idx", m, feature_config(cfg), change_config(cfg), primitive, segmenters, names=channels), f"results-{m}")
+        whole = results if whole is None else whole.unionByName(results)
+        found = method_rows(results, "episode_id")
+        stats, pairs = pipeline_summary(found.withColumn("status", F.when(F.col("method").isNull(), "error").otherwise(F.col("status"))), "episode_id", None, args.tolerance)
         write_csv(stats.withColumn("modality", F.lit(m)), str(out / f"comparison_{m}.csv"))
-        parts.append(f"## {m}\n\n{comparison_markdown(stats, pairs)}")
+        parts.append(f"# {m}\n\n" + comparison_markdown(stats, pairs, mean_runtimes(found), skipped(results)))
+    if whole is not None:
+        rows = method_rows(whole, "episode_id").withColumn("method", F.coalesce("method", F.lit(""))).withColumn("boundaries", F.coalesce("boundaries", F.array().cast("array<bigint>")))
+        write_csv(boundary_strings(rows, ["episode_id", "modality", "status", "reason", "method"]), str(out / "boundaries.csv"))
+        nested = whole.groupBy("episode_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("modality", F.struct(*[c for c in whole.columns if c not in ("episode_id", "modality")]))))).alias("modalities"))
+        write_json(nested, str(out / "results.json"))
+    parts.append("# Limits\n\n- Boundaries are positions on the resampled grid.\n- Agreement compares methods with each other, not with a truth.\n\n# Next\n\n- Look at recordings whose methods disagree.\n- Set a penalty where the elbow isn't clear.")
     (out / "report.md").write_text("\n\n".join(parts))
     return 0
 

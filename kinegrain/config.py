@@ -30,7 +30,7 @@ def _pick(kind: type, section: dict[str, Any], names: dict[str, str]) -> Any:
 
 
 def feature_config(cfg: dict) -> FeatureConfig:
-    return _pick(FeatureConfig, cfg.get("features", {}), {"smoothing_window": "window"})
+    return _pick(FeatureConfig, cfg.get("features", {}), {"smoothing_window": "window", "modality_weights": "block_weights", "lowpass_cutoff_hz": "cutoff"})
 
 
 def change_config(cfg: dict) -> ChangeConfig:

@@ -125,6 +125,28 @@ def silhouette(points: np.ndarray, labels: np.ndarray) -> float | None:
     return float(score.mean())
 
 
+def downsample(segment: np.ndarray, w: int) -> np.ndarray:
+    """``w`` rows at even distances (halves to even); shorter segments are padded with their last row."""
+    n = len(segment)
+    if n >= w:
+        return segment[np.rint(np.linspace(0, n - 1, w)).astype(int)]
+    return np.concatenate([segment, np.repeat(segment[-1:], w - n, axis=0)])
+
+
+def describe(parts: list[np.ndarray], labels: np.ndarray, k: int) -> dict:
+    """Sizes of the clusters, transitions between neighbouring segments as shares of their row, and the segment nearest to each cluster's mean."""
+    means = np.array([p.mean(axis=0) for p in parts])
+    steps = np.zeros((k, k))
+    np.add.at(steps, (labels[:-1], labels[1:]), 1.0)
+    total = steps.sum(axis=1, keepdims=True)
+    near = []
+    for c in range(k):
+        own = np.flatnonzero(labels == c)
+        far = np.linalg.norm(means[own] - means[own].mean(axis=0), axis=1) if len(own) else np.empty(0)
+        near.append(int(own[np.argmin(far)]) if len(own) else None)
+    return {"sizes": np.bincount(labels, minlength=k).tolist(), "transitions": (steps / np.maximum(total, 1.0)).tolist(), "representatives": near}
+
+
 def segment_labels(frame_labels: np.ndarray, lengths: list[int], gap: int) -> np.ndarray:
     """Most frequent label of each segment; frames of the gaps between don't count."""
     out, at = [], 0
@@ -154,5 +176,5 @@ def discover(x: np.ndarray, boundaries: list[int], config: PrimitiveConfig) -> d
             continue
         s = silhouette(means, labels)
         if best is None or (s is not None and (best["silhouette"] is None or s > best["silhouette"])):
-            best = {"k": k, "labels": labels.tolist(), "silhouette": s}
+            best = {"k": k, "labels": labels.tolist(), "silhouette": s, **describe(parts, labels, k)}
     return best

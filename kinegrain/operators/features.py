@@ -1,16 +1,21 @@
 """Feature blocks of joint, command and Cartesian channels.
 
-Features are kept long: (key, block, pos, name, k, t, x). Blocks are unions of projections of one
-resampled, smoothed and differentiated table, scaled per channel and weighted per block and joint.
+A few channels as columns go through the engine's windows (``derivatives``, ``scale_columns``). Whole
+state vectors of any width go through ``feature_matrices``: one shuffle by recording and one pass of
+numpy over each, as every step of the chain needs the whole recording, and windows per channel would
+make plans that grow with the width.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinegrain.functions.featurize import feature_matrix, group_channels, layout, names_of, rotation_vectors
 from kinegrain.operators.timeseries import gradient, resample_linear, robust_scale, smooth
 
 ALIASES = {"ablation": "joint_command"}
@@ -26,6 +31,8 @@ class FeatureConfig:
     normalize: str = "mad"
     block_weights: dict[str, float] = field(default_factory=dict)
     joint_weights: dict[str, float] = field(default_factory=dict)
+    joint_groups: dict[str, list[str]] = field(default_factory=dict)
+    cutoff: float = 8.0
 
 
 def normalize_modality(name: str) -> str:
@@ -113,3 +120,68 @@ def grouped_matrix(df: DataFrame, keys: list[str], vector: str, names: list[str]
     each = F.array(*[F.struct(F.lit(g).alias("group"), pick(chans).alias("x")) for g, chans in blocks.items()])
     return df.select(*keys, "frame", time, F.explode(each).alias("b")).select(*keys, "frame", time, "b.group", "b.x")
 
+
+# ---- whole vectors -----------------------------------------------------------------------------
+
+#: The columns that a modality needs.
+NEEDS = {"joint": ("q",), "joint_command": ("q", "q_cmd"), "cartesian": ("ee_pose",)}
+
+
+def _rows(column: pd.Series) -> np.ndarray:
+    """Vectors as rows; of unequal widths the widest counts, what is missing is NaN."""
+    own = [np.asarray(v, dtype=float) if v is not None else np.empty(0) for v in column]
+    wide = max((len(v) for v in own), default=0)
+    out = np.full((len(own), wide), np.nan)
+    for i, v in enumerate(own):
+        out[i, : len(v)] = v
+    return out
+
+
+def recording_features(pdf: pd.DataFrame, modality: str, config: FeatureConfig, names: list[str] | None = None) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Grid times, feature names, features and unscaled features of one recording in order (columns t, and q, q_cmd or ee_pose).
+
+    ``names`` are those of the state's channels, for groups. Cartesian features have a rotation block where
+    the pose has a quaternion; its rotation vectors are unwrapped before resampling.
+    """
+    t = pdf["t"].to_numpy(float)
+    if modality == "cartesian":
+        pose = _rows(pdf["ee_pose"])
+        if pose.shape[1] < 3:
+            raise KeyError("no position")
+        sources, rotated = {"pos": pose[:, :3]}, pose.shape[1] >= 7
+        if rotated:
+            sources["rot"] = rotation_vectors(pose[:, 3:7])
+        parts = layout(modality, 3, rotated)
+    else:
+        sources = {"q": _rows(pdf["q"])}
+        if modality == "joint_command":
+            sources["cmd"] = _rows(pdf["q_cmd"])
+        width = sources["q"].shape[1]
+        groups = group_channels(list(names or [f"joint_{k}" for k in range(width)])[:width], config.joint_groups) if config.joint_groups else None
+        parts = layout(modality, width, groups=groups)
+    at, x, raw = feature_matrix(t, sources, parts, config, lambda n: joint_weight(n, config.joint_weights))
+    return at, names_of(parts), x, raw
+
+
+def feature_matrices(df: DataFrame, key: str, order: str, modality: str, config: FeatureConfig = FeatureConfig(), names: list[str] | None = None) -> DataFrame:
+    """(key, k, t, x, raw, names, error): the feature vectors of every recording on its grid.
+
+    A recording that can't be worked out has one row with its ``error`` and null k. ``raw`` are the features
+    before scaling and weighting, ``names`` stand in the row of k 0.
+    """
+    modality = normalize_modality(modality)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        own = pdf[key].iloc[0]
+        try:
+            at, found, x, raw = recording_features(pdf, modality, config, names)
+        except Exception as e:  # noqa: BLE001 - one bad recording must not fail the job
+            return pd.DataFrame([{"__key": own, "k": None, "t": None, "x": None, "raw": None, "names": None, "error": str(e)}])
+        out = pd.DataFrame({"__key": own, "k": np.arange(len(at)), "t": at, "x": list(x), "raw": list(raw), "names": None, "error": None})
+        out["names"] = [found, *[None] * (len(out) - 1)] if len(out) else []
+        return out
+
+    kind = df.schema[key].dataType.simpleString()
+    out = df.select(key, order, "t", *NEEDS[modality]).groupBy(key).applyInPandas(run, f"__key {kind}, k bigint, t double, x array<double>, raw array<double>, names array<string>, error string")
+    return out.withColumnRenamed("__key", key)

@@ -123,3 +123,16 @@ def forward_kinematics(df: DataFrame, state: str, urdf: str, names: list[str], f
     made = d.mapInPandas(run, f"{rest}, __pose array<double>")
     value = F.coalesce(F.col(out), F.col("__pose")) if had else F.col("__pose")
     return made.withColumn(out, value).drop("__pose")
+
+
+def frame_poses(df: DataFrame, state: str, urdf: str, names: list[str], frames: list[str], extra: dict[str, int] | None = None) -> DataFrame:
+    """(episode_id, ee_frame, frame_idx, t, position, quaternion, rpy) of several frames of a robot, a row for each."""
+    out = None
+    for frame in frames:
+        p = lambda k: F.element_at("__pose7", k)
+        x, y, z, w = (p(k) for k in (4, 5, 6, 7))
+        rpy = F.array(F.atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y)), F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (w * y - z * x)))), F.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z)))
+        one = forward_kinematics(df.select("episode_id", "frame_idx", "t", state), state, urdf, names, frame, extra, "__pose7")
+        one = one.select("episode_id", F.lit(frame).alias("ee_frame"), "frame_idx", "t", F.slice("__pose7", 1, 3).alias("position"), F.slice("__pose7", 4, 4).alias("quaternion"), rpy.alias("rpy"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -54,6 +54,34 @@ def boundary_strings(df: DataFrame, keys: list[str], boundaries: str = "boundari
     return df.select(*keys, F.array_join(F.transform(F.array_sort(boundaries), lambda x: x.cast("string")), ";").alias("boundary_frames"))
 
 
+def phase_results(anchors: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t_grasp, t_place, boundaries): the anchors of a recording and its runs of one phase in order."""
+    lists = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_idx", "end_idx", "phase", "start_time", "end_time"))).alias("boundaries"))
+    return anchors.select(*keys, "t_grasp", "t_place").join(lists, keys, "left")
+
+
+def write_sample_reports(segments: DataFrame, keys: list[str], folder: str, threshold: float = 0.5) -> None:
+    """``segments.json``, the timeline of every sample as JSON lines, and ``summary.csv``, its three sections; partitioned by sample."""
+    write_json(timeline(segments, keys), f"{folder}/segments.json")
+    flat = summary_sections(segments, keys, threshold)
+    complex_columns = [f.name for f in flat.schema if f.dataType.typeName() in ("array", "map", "struct")]
+    flat = flat.withColumns({c: F.to_json(c) for c in complex_columns}) if complex_columns else flat
+    flat.repartition(*keys).sortWithinPartitions(*keys, "section").write.mode("overwrite").partitionBy(*keys).option("header", True).csv(f"{folder}/summary.csv")
+
+
+def write_poses(poses: DataFrame, path: str) -> None:
+    """Poses (episode_id, ee_frame, frame_idx, t, position, quaternion, rpy) as one folder per episode and frame of the robot."""
+    poses.repartition("episode_id", "ee_frame").sortWithinPartitions("episode_id", "ee_frame", "frame_idx").write.mode("overwrite").partitionBy("episode_id", "ee_frame").parquet(path)
+
+
+def plot_table(features: DataFrame, results: DataFrame, key: str, dims: int = 3) -> DataFrame:
+    """(key, k, t, head, methods): the first ``dims`` features of every grid point and the methods with a boundary there, ready to be drawn."""
+    at = results.select(key, F.explode("methods").alias("m")).select(key, F.col("m.method").alias("__m"), F.explode("m.boundaries").alias("k"))
+    cuts = at.groupBy(key, "k").agg(F.array_sort(F.collect_set("__m")).alias("methods"))
+    head = features.where("k is not null").select(key, "k", "t", F.slice("x", 1, dims).alias("head"))
+    return head.join(cuts, [key, "k"], "left").withColumn("methods", F.coalesce("methods", F.array().cast("array<string>")))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
@@ -69,7 +97,7 @@ def selected_ids_json(ids: DataFrame, column: str = "episode_id") -> str:
     return json.dumps({"selected_episode_ids": chosen, "num_selected": len(chosen)})
 
 
-def comparison_markdown(stats: DataFrame, pairs: DataFrame, runtimes: DataFrame | None = None) -> str:
+def comparison_markdown(stats: DataFrame, pairs: DataFrame, runtimes: DataFrame | None = None, skips: DataFrame | None = None) -> str:
     """Report of aggregates (a few rows per modality and method): statistics, pairwise agreement, runtimes."""
 
     def cell(v) -> str:
@@ -78,11 +106,14 @@ def comparison_markdown(stats: DataFrame, pairs: DataFrame, runtimes: DataFrame
         return f"{v:.3f}" if isinstance(v, float) else str(v)
 
     def grid(df: DataFrame) -> list[str]:
-        rows = df.collect()
+        # aggregates: a row per method, pair or reason
+        rows = df.limit(1000).collect()
         head = df.columns
         return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(cell(r[c]) for c in head) + " |" for r in rows)]
 
     out = ["# Comparison", "", "## Durations", "", *grid(stats), "", "## Agreement", "", *grid(pairs)]
     if runtimes is not None:
         out += ["", "## Runtimes", "", *grid(runtimes.orderBy(F.col("runtime_s").asc_nulls_last()))]
+    if skips is not None:
+        out += ["", "## Skipped", "", *grid(skips)]
     return "\n".join(out) + "\n"

@@ -157,6 +157,14 @@ def median_filter(df: DataFrame, keys: list[str], order: str, column: str, k: in
     return stencil(df, keys, order, column, [1.0] * odd_window(k, 1), "reflect", "median", out=out)
 
 
+def gripper_aperture(df: DataFrame, keys: list[str], order: str, vector: str, hand: str = "right", right: int = 20, left: int = 32, k: int = 5, out: str = "aperture") -> DataFrame:
+    """Adds ``out``: the median-filtered channel of the active hand (``right`` and ``left`` are channels of ``vector``)."""
+    if hand not in ("right", "left"):
+        raise ValueError(f"unknown hand {hand!r}")
+    own = df.withColumn(out, F.try_element_at(vector, F.lit((right if hand == "right" else left) + 1)))
+    return median_filter(own, keys, order, out, k)
+
+
 def savgol_matrix(window: int, polyorder: int) -> np.ndarray:
     """Row p: the weights of a window's values for the fitted polynomial at its position p."""
     x = np.arange(window) - window // 2

@@ -65,6 +65,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _below(spark: SparkSession, root: str) -> list[str]:
+    """All parquet files below a folder, at any depth."""
+    fs, p = hadoop_path(spark, root)
+    if not fs.exists(p):
+        return []
+    found, it = [], fs.listFiles(p, True)
+    while it.hasNext():
+        name = str(it.next().getPath().toString())
+        if name.endswith(".parquet"):
+            found.append(name)
+    return sorted(found)
+
+
 def _text(spark: SparkSession, path: str) -> str | None:
     if not _exists(spark, path):
         return None
@@ -85,9 +98,7 @@ def discover_layout(spark: SparkSession, root: str) -> tuple[str, list[str]]:
         files = _glob(spark, f"{root}/data/chunk-*/{stem}.parquet") + _glob(spark, f"{root}/data/{stem}.parquet")
         if files:
             return name, files
-    files = []
-    for depth in ("", "*/", "*/*/", "*/*/*/"):
-        files += _glob(spark, f"{root}/data/{depth}*.parquet")
+    files = _below(spark, f"{root}/data")
     return ("parquet", files) if files else ("unknown", [])
 
 
@@ -251,6 +262,17 @@ def clean_vectors(d: DataFrame, policy: str, vectors: list[str]) -> DataFrame:
     return wide.select(*[F.array(*[F.col(f"__{c}_{k}") for k in range(row[c] or 0)]).alias(c) if c in vectors else F.col(c) for c in d.columns])
 
 
+def list_recorded(spark: SparkSession, root: str) -> DataFrame:
+    """episode_id, length, metadata of the metadata's rows in the order of the file, repeated ones too; without such a file as ``list_episodes``."""
+    rows = metadata_rows(spark, root)
+    if rows is None:
+        return list_episodes(spark, inspect_dataset(spark, root)).select("episode_id", "length", "metadata")
+    if any(not isinstance(r, dict) for r in rows):
+        raise ValueError("a row of the metadata is no object")
+    made = [(k, str(episode_id_of(r, k)), episode_length_of(r), {a: str(b) for a, b in r.items()}) for k, r in enumerate(rows)]
+    return spark.createDataFrame(made, "position bigint, episode_id string, length int, metadata map<string,string>").orderBy("position").drop("position")
+
+
 def load_plain_episode(spark: SparkSession, root: str, episode_id: int | str) -> DataFrame:
     """An episode from ``data/episode_<id>`` as parquet, json or jsonl, with state and command; array archives aren't supported (KeyError)."""
     stem = f"{root}/data/episode_{episode_id}"

@@ -99,7 +99,14 @@ def test_command_line(spark, tmp_path):
     root = make(spark, tmp_path / "ds", "shared")
     assert main(["dataset", "--dataset", root, "--n-episodes", "2", "--modalities", "joint", "ablation", "cartesian", "--output", str(tmp_path / "out")]) == 0
     text = (tmp_path / "out/report.md").read_text()
-    assert "ablation is joint_command" in text and "skipped" in text and (tmp_path / "out/boundaries_joint.csv").exists()
+    assert "ablation is joint_command" in text and "skipped" in text and "## Runtimes" in text and "## Skipped" in text
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out/boundaries.csv")).collect()
+    assert {(r.modality, r.status) for r in rows} == {("joint", "success"), ("joint_command", "success"), ("cartesian", "skipped")}
+    assert all(r.method is None and r.reason for r in rows if r.modality == "cartesian") and {"pelt", "binseg"} < {r.method for r in rows if r.modality == "joint"}
+    nested = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/results.json")).collect()]
+    assert len(nested) == 2 and set(nested[0]["modalities"]) == {"joint", "joint_command", "cartesian"}
+    joint = nested[0]["modalities"]["joint"]
+    assert joint["status"] == "success" and joint["feature_names"][0] == "q_0" and len(joint["feature_names"]) == 3 * len([n for n in joint["feature_names"] if n.startswith("q_")]) and joint["primitives"]["status"] in ("success", "skipped")
     assert json.loads((tmp_path / "out/selected_episode_ids.json").read_text())["num_selected"] == 2
 
 
