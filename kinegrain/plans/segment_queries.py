@@ -212,7 +212,7 @@ def formatted_stats(spark, d):
     return x.select("episode", V.fmt_float(F.col("v")).alias("frames_per_boundary"), V.fmt_int(F.col("k")).alias("n"))
 
 
-@query()
+@query(f"WITH {SEGS} SELECT episode, CAST(count(*) AS INTEGER) AS n_matched, round(avg((end_t - (start_t + 0.1 * (end_t - start_t))) / (end_t - start_t)), 6) AS mean_iou FROM sg GROUP BY 1")
 def segment_iou(spark, d):
     """Rule segments against the same ones shifted by a tenth of their length."""
     s = R.rename_for_report(labelled(spark, d)).select("episode", "label", "start", "end")
