@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinegrain.runtime import materialize
+from kinegrain.runtime import materialize, release
 
 # What, without case, blanks and punctuation, says that nothing was recorded.
 NOTHING = (
@@ -61,8 +61,10 @@ def components(edges: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
     for _ in range(rounds):
         least = state.groupBy("node").agg(F.min("member").alias("m"))
         sent = state.join(least, "node").select("m", "member")
-        state = materialize(sent.select("member", "m").union(sent).toDF("node", "member").distinct(), "clusters")
+        last, state = state, materialize(sent.select("member", "m").union(sent).toDF("node", "member").distinct(), "clusters")
         now = digest(state)
+        # the round before is read no more, so the disk doesn't grow with the rounds
+        release(last)
         if now == seen:
             return state.groupBy("node").agg(F.min("member").alias("component"))
         seen = now
