@@ -124,15 +124,12 @@ def rotation_to_quat(r: np.ndarray) -> np.ndarray:
     """Quaternions (x, y, z, w) with w not negative, from the dominant component."""
     xx, yy, zz = r[:, 0, 0], r[:, 1, 1], r[:, 2, 2]
     sq = np.maximum(0.0, np.stack([1 + xx - yy - zz, 1 - xx + yy - zz, 1 - xx - yy + zz, 1 + xx + yy + zz], axis=1)) / 4
-    out = np.empty((len(r), 4))
-    for k, m in enumerate(np.argmax(sq, axis=1)):
-        a = math.sqrt(sq[k, m])
-        f = 1 / (4 * a)
-        n = r[k]
-        out[k] = {
-            0: (a, (n[0, 1] + n[1, 0]) * f, (n[0, 2] + n[2, 0]) * f, (n[2, 1] - n[1, 2]) * f),
-            1: ((n[0, 1] + n[1, 0]) * f, a, (n[1, 2] + n[2, 1]) * f, (n[0, 2] - n[2, 0]) * f),
-            2: ((n[0, 2] + n[2, 0]) * f, (n[1, 2] + n[2, 1]) * f, a, (n[1, 0] - n[0, 1]) * f),
-            3: ((n[2, 1] - n[1, 2]) * f, (n[0, 2] - n[2, 0]) * f, (n[1, 0] - n[0, 1]) * f, a),
-        }[int(m)]
+    m = np.argmax(sq, axis=1)
+    a = np.sqrt(np.take_along_axis(sq, m[:, None], axis=1)[:, 0])
+    # symmetric sums and antisymmetric differences of the off-diagonal elements
+    sxy, sxz, syz = r[:, 0, 1] + r[:, 1, 0], r[:, 0, 2] + r[:, 2, 0], r[:, 1, 2] + r[:, 2, 1]
+    dx, dy, dz = r[:, 2, 1] - r[:, 1, 2], r[:, 0, 2] - r[:, 2, 0], r[:, 1, 0] - r[:, 0, 1]
+    square = 4 * a * a
+    rows = np.array([[square, sxy, sxz, dx], [sxy, square, syz, dy], [sxz, syz, square, dz], [dx, dy, dz, square]])
+    out = rows[m, :, np.arange(len(r))] / (4 * a)[:, None]
     return np.where(out[:, 3:] < 0, -out, out)

@@ -55,6 +55,7 @@ def compact(df: DataFrame, keys: list[str], file_id: str, target: str, total_byt
     leaving ``target`` as it was, if records were lost or doubled on the way.
     """
     spark = df.sparkSession
+    recover(spark, target)
     clash = {*COUNTS, LONE} & set(df.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are made here")
@@ -74,6 +75,18 @@ def compact(df: DataFrame, keys: list[str], file_id: str, target: str, total_byt
     return _swap_in(spark, df, one, keys, rest, target)
 
 
+def recover(spark: SparkSession, target: str) -> bool:
+    """Put the former table back where a swap was cut off between its two renames; whether one was."""
+    fs, place = hadoop_path(spark, target)
+    if fs.exists(place):
+        return False
+    _, pattern = hadoop_path(spark, f"{target}.old-*")
+    found = fs.globStatus(pattern)
+    if found is None or len(found) != 1:
+        return False
+    return bool(fs.rename(found[0].getPath(), place))
+
+
 def _swap_in(spark: SparkSession, df: DataFrame, one: DataFrame, keys: list[str], rest: list[str], target: str) -> DataFrame:
     staging = f"{target}.staging-{uuid.uuid4().hex[:8]}"
     out = one.select(*[c(k) for k in keys], *[F.col("__r").getField(x).alias(x) for x in rest], *COUNTS)
@@ -92,7 +105,8 @@ def _reconcile(spark: SparkSession, df: DataFrame, keys: list[str], staging: str
     old = None
     if fs.exists(place):
         _, old = hadoop_path(spark, f"{target}.old-{uuid.uuid4().hex[:8]}")
-        fs.rename(place, old)
+        if not fs.rename(place, old):
+            raise RuntimeError(f"{target} could not be put aside")
     if not fs.rename(new, place):
         if old is not None:
             fs.rename(old, place)

@@ -47,14 +47,32 @@ def task_profile(name: str, **overrides) -> TaskProfile:
 LABELS = ("approach", "grasp", "move", "insertion", "place", "move_to_ready")
 
 
+def as_of(frames: DataFrame, segments: DataFrame, keys: list[str], time: str, start: str, end: str) -> DataFrame:
+    """Frames with each segment that holds them, both ends included; segments of a key don't overlap but at their ends.
+
+    The last segment that started, and the one before it, are carried along the time of a key: one window,
+    and no pairs of frames and segments.
+    """
+    w = Window.partitionBy(*keys)
+    own = F.struct(*[c for c in segments.columns if c not in keys])
+    s = segments.withColumn("__own", own)
+    s = s.select(*keys, F.col(start).alias("__at"), F.lit(0).alias("__kind"), F.struct(F.col("__own").alias("now"), F.lag("__own").over(w.orderBy(start, end)).alias("last")).alias("__seg"))
+    whole = F.struct(*[F.col(c) for c in frames.columns])
+    f = frames.select(*keys, F.col(time).alias("__at"), F.lit(1).alias("__kind"), whole.alias("__frame"))
+    u = f.unionByName(s, allowMissingColumns=True)
+    carried = F.last("__seg", ignorenulls=True).over(w.orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
+    u = u.select("__frame", "__at", "__kind", carried.alias("__seg")).where("__kind = 1")
+    held = F.filter(F.array("__seg.last", "__seg.now"), lambda x: x.isNotNull() & (F.col("__at") >= x.getField(start)) & (F.col("__at") <= x.getField(end)))
+    return u.select("__frame", F.explode(held).alias("__s")).select("__frame.*", "__s.*")
+
+
 def segment_facts(frames: DataFrame, segments: DataFrame, keys: list[str], p: TaskProfile) -> DataFrame:
     """One row per segment with the shares and means its label depends on.
 
-    frames: keys, t, x, y, z, speed, gripper (0 to 1), alignment. A frame on a cut belongs to both segments.
-    Segments without frames are left out.
+    frames: keys, t, x, y, z, speed, gripper (0 to 1), alignment. Segments touch at cuts, but don't overlap;
+    a frame on a cut belongs to both. Segments without frames are left out.
     """
-    f = frames.withColumnRenamed("t", "__t")
-    j = segments.join(f, keys).where((F.col("__t") >= F.col("start_t")) & (F.col("__t") <= F.col("end_t")))
+    j = as_of(frames.withColumnRenamed("t", "__t"), segments.select(*keys, "seg_id", "start_t", "end_t"), keys, "__t", "start_t", "end_t")
     closed = F.col("gripper") >= 0.5
     w = Window.partitionBy(*keys, "seg_id").orderBy("__t")
     j = j.withColumn("__turn", F.when(F.lag(closed).over(w) != closed, 1).otherwise(0))

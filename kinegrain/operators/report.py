@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinegrain.operators.labeling import as_of
+
 
 def rename_for_report(segments: DataFrame) -> DataFrame:
     """Labelled segments (start_t, end_t) under the names the reports use."""
@@ -31,7 +33,13 @@ def low_confidence(segments: DataFrame, threshold: float = 0.5) -> DataFrame:
 def frame_segments(frames: DataFrame, segments: DataFrame, keys: list[str], order: str) -> DataFrame:
     """segment of every frame, both ends included, the later one where two hold it, -1 where none does."""
     f = frames.select(*keys, order, F.col("t").alias("__t"))
-    hit = f.join(segments.select(*keys, "segment_id", "start", "end"), keys).where((F.col("__t") >= F.col("start")) & (F.col("__t") <= F.col("end"))).groupBy(*keys, order).agg(F.max("segment_id").alias("segment_id"))
+    s = segments.select(*keys, "segment_id", "start", "end")
+    # keys whose segments overlap need every pair; the others carry the last segment along
+    until = F.max("end").over(Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    s = s.withColumn("__over", F.coalesce(until > F.col("start"), F.lit(False))).withColumn("__over", F.max("__over").over(Window.partitionBy(*keys)))
+    pairs = f.join(s.where("__over"), keys).where((F.col("__t") >= F.col("start")) & (F.col("__t") <= F.col("end"))).select(*keys, order, "segment_id")
+    apart = as_of(f, s.where("not __over").drop("__over"), keys, "__t", "start", "end").select(*keys, order, "segment_id")
+    hit = pairs.unionByName(apart).groupBy(*keys, order).agg(F.max("segment_id").alias("segment_id"))
     return f.select(*keys, order).join(hit, [*keys, order], "left").withColumn("segment_id", F.coalesce("segment_id", F.lit(-1)))
 
 

@@ -7,13 +7,16 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinegrain.runtime import materialize
+
 
 def _ranked(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``__i``, the position in the order, without moving all rows into one task.
 
     Rows are range-partitioned; the positions before each range are summed up from one count per range.
+    They are written with the number of their range, as the bounds are sampled anew whenever they are worked out.
     """
-    p = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    p = materialize(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()), "ranges")
     local = p.withColumn("__l", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = local.groupBy("__part").agg(F.count(F.lit(1)).alias("__c"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")

@@ -14,11 +14,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop)
-    a temporary folder of this machine is made and remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and everything runs on this
+    machine (tests, a laptop) a temporary folder is made and remembered in the session; RuntimeError else.
     """
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT_KEY} is unset: name a folder there that all executors share")
         path = tempfile.mkdtemp(prefix="kinegrain-")
         spark.conf.set(CHECKPOINT_KEY, path)
     return path.rstrip("/")
@@ -63,4 +65,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinegrain_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the folder of a written intermediate table that nothing reads any more."""
+    path = getattr(df, "_kinegrain_path", None)
+    if path is not None:
+        delete(df.sparkSession, path)

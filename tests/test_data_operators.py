@@ -211,6 +211,12 @@ def test_episodes_of_file_names(spark):
     assert got == {"a": 5, "b": 0, "c": None, "d": None}
 
 
+def test_a_swap_that_was_cut_off_is_put_back(spark, tmp_path):
+    target = str(tmp_path / "t")
+    spark.range(3).write.parquet(target + ".old-1")
+    assert C.recover(spark, target) and spark.read.parquet(target).count() == 3 and not C.recover(spark, target)
+
+
 # ---- schema drift ----------------------------------------------------------------------------
 
 ROLE_COLS = ", ".join(f"{r} string" for r in D.ROLES)

@@ -1,5 +1,6 @@
 """Series, labelling and evaluation operators against plain Python on small inputs."""
 
+import math
 import random
 
 import numpy as np
@@ -204,3 +205,102 @@ def test_failed_kernels_are_told(spark, monkeypatch):
     monkeypatch.setattr(T, "change_boundaries", lambda f, key, *_: f.select(key).distinct().selectExpr(key, "cast(null as array<bigint>) boundaries", "if(episode = 1, 'error', 'success') status", "if(episode = 1, 'no memory', null) error"))
     assert sorted((r.episode, r.error) for r in T.detect_boundaries(frames, "episode", "frame", profile).collect()) == [(0, None), (1, "no memory")]
     assert [r.error for r in T.detect_boundaries(frames, "episode", "frame", profile, "rules").collect()] == [None, None]
+
+
+def test_frames_of_segments_that_overlap_or_not(spark):
+    frames = spark.createDataFrame([(e, i, float(i)) for e in (1, 2, 3) for i in range(12)], "e int, i int, t double")
+    segments = spark.createDataFrame([(1, 0, 0.0, 4.0), (1, 1, 4.0, 6.0), (1, 2, 8.0, 9.0), (2, 0, 0.0, 10.0), (2, 1, 2.0, 3.0)], "e int, segment_id int, start double, end double")
+    got = {(r.e, r.i): r.segment_id for r in R.frame_segments(frames, segments, ["e"], "i").collect()}
+    assert [got[1, i] for i in range(12)] == [0, 0, 0, 0, 1, 1, 1, -1, 2, 2, -1, -1]
+    assert [got[2, i] for i in range(12)] == [0, 0, 1, 1, *[0] * 7, -1]
+    assert {got[3, i] for i in range(12)} == {-1}
+
+
+# ---- features of whole vectors -----------------------------------------------------------------
+
+
+def test_vectors_equal_columns(spark):
+    """The numpy pass over vectors and the engine's windows over columns give the same joint features."""
+    from kinegrain.operators import features as Fe
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for e, n in enumerate((3, 7, 40)):
+        t = np.cumsum(rng.uniform(0.02, 0.05, n))
+        rows += [(e, i, float(t[i]), [float(v) for v in rng.normal(size=2)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "e int, i int, t double, q array<double>")
+    for smoothing in ("savgol", "moving_average", "none"):
+        for normalize in ("mad", "iqr"):
+            c = Fe.FeatureConfig(smoothing=smoothing, window=7, polyorder=3, normalize=normalize)
+            vectors = {(r.e, r.k): r.x for r in Fe.feature_matrices(df, "e", "i", "joint", c).collect()}
+            wide = df.select("e", "i", F.col("i").alias("frame"), "t", F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
+            names = [p + x for p in ("", "d_", "dd_") for x in ("a", "b")]
+            columns = Fe.scale_columns(Fe.derivatives(wide, ["e"], ["a", "b"], c), ["e"], dict.fromkeys(names, "joint"), c)
+            for r in columns.collect():
+                assert vectors.pop((r.e, r.k)) == pytest.approx([r[n] for n in names], abs=1e-6), (smoothing, normalize, r.e, r.k)
+            assert not vectors
+
+
+def test_widths_names_groups_and_weights(spark):
+    from kinegrain.operators import features as Fe
+
+    t = np.linspace(0, 1.3, 40)
+    q = np.sin(t[:, None] + np.linspace(0, 0.5, 4))
+    pose = np.concatenate([np.column_stack([np.sin(t), np.cos(t), t]), np.tile([0.0, 0, 0, 1], (40, 1))], axis=1)
+    df = spark.createDataFrame([(0, i, float(t[i]), q[i].tolist(), (q[i] + 0.05).tolist(), pose[i].tolist()) for i in range(40)], "e int, i int, t double, q array<double>, q_cmd array<double>, ee_pose array<double>")
+    width = lambda m, c=Fe.FeatureConfig(), names=None, d=df: [(len(r.x), r.names) for r in Fe.feature_matrices(d, "e", "i", m, c, names).where("k = 0").collect()][0]
+    assert width("joint")[0] == 12 and width("ablation")[0] == 20 and width("cartesian")[0] == 18
+    assert width("cartesian", d=df.withColumn("ee_pose", F.slice("ee_pose", 1, 3)))[0] == 9
+    groups = {"arm": ["b", "d", "no"], "hand": ["c"], "none": ["x"]}
+    n, names = width("joint_command", Fe.FeatureConfig(joint_groups=groups), ["a", "b", "c", "d"])
+    assert n == 15 and names[:6] == ["q_arm_0", "q_arm_1", "dq_arm_0", "dq_arm_1", "ddq_arm_0", "ddq_arm_1"] and names[6:10] == ["q_cmd_arm_0", "q_cmd_arm_1", "q_err_arm_0", "q_err_arm_1"] and names[10] == "q_hand_0"
+    assert width("joint", Fe.FeatureConfig(joint_groups={"x": ["y"]}), ["a"])[0] == 0
+    plain = {r.k: r.x for r in Fe.feature_matrices(df, "e", "i", "joint").collect()}
+    heavy = {r.k: r.x for r in Fe.feature_matrices(df, "e", "i", "joint", Fe.FeatureConfig(block_weights={"joint": 2.0})).collect()}
+    assert heavy[7] == pytest.approx([2 * v for v in plain[7]])
+    bad = Fe.feature_matrices(df.withColumn("q_cmd", F.slice("q_cmd", 1, 3)), "e", "i", "joint_command").collect()
+    assert [(r.k, r.error) for r in bad] == [(None, "state and command differ in width")]
+
+
+def test_a_run_tells_what_it_skips(spark):
+    from kinegrain.functions.changepoints import ChangeConfig
+    from kinegrain.functions.primitives import PrimitiveConfig
+    from kinegrain.operators import features as Fe
+    from kinegrain.plans import pipeline as Pl
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 0.1, (80, 2)), rng.normal(3, 0.1, (80, 2))])
+    rows = [("a", i, i / 30, x[i].tolist(), None) for i in range(160)] + [("b", i, 0.0, [0.0, 1.0], None) for i in range(5)] + [("c", i, i / 30, None, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, i int, t double, q array<double>, q_cmd array<double>")
+    run = lambda m, **kw: {r.k: r for r in Pl.process_recordings(df, "k", "i", m, Fe.FeatureConfig(smoothing="none", normalize="none"), ChangeConfig(model="l2", penalty=50.0), **kw).collect()}
+    got = run("joint", primitives=PrimitiveConfig(window=4, max_iter=5), segmenters=("clasp",))
+    assert got["a"].status == "success" and [m.method for m in got["a"].methods] == ["pelt", "binseg", "clasp"] and any(abs(b - 80) <= 1 for b in got["a"].methods[0].boundaries)
+    assert got["a"].fps == pytest.approx(30) and got["a"].primitives.status == "success" and sum(got["a"].primitives.sizes) == len(got["a"].primitives.labels)
+    assert got["b"].status == "error" and "rise" in got["b"].reason and got["c"].status == "skipped"
+    assert {r.status for r in run("joint_command").values()} == {"skipped"}
+    off = run("joint", primitives=None, segmenters=())
+    assert off["a"].primitives.reason == "switched off" and len(off["a"].methods) == 2
+
+
+def test_poses_and_apertures(spark):
+    from kinegrain.operators import kernels as Ke
+    from kinegrain.operators import timeseries as Ts
+    from kinegrain.plans.segment_queries import ARM
+
+    df = spark.createDataFrame([("e", i, i / 30, [0.3 * i, -0.1 * i]) for i in range(4)], "episode_id string, frame_idx int, t double, q array<double>")
+    got = Ke.frame_poses(df, "q", ARM, ["j1", "j2"], ["tip", "lower"]).collect()
+    assert len(got) == 8
+    for r in got:
+        a, b = 0.3 * r.frame_idx, -0.1 * r.frame_idx
+        assert r.rpy == pytest.approx([0, 0, a + b], abs=1e-9)
+        reach = 0.5 if r.ee_frame == "tip" else 0.0
+        assert r.position[:2] == pytest.approx([math.cos(a) + reach * math.cos(a + b), math.sin(a) + reach * math.sin(a + b)])
+    v = spark.createDataFrame([(0, i, [float(i), 9.0 if i == 3 else 1.0]) for i in range(8)], "e int, i int, v array<double>")
+    assert {r.aperture for r in Ts.gripper_aperture(v, ["e"], "i", "v", "left", right=0, left=1, k=3).collect()} == {1.0}
+
+
+def test_down_sampling():
+    from kinegrain.functions.primitives import downsample
+
+    x = np.arange(10.0)[:, None]
+    assert downsample(x, 4)[:, 0].tolist() == [0, 3, 6, 9] and downsample(x, 10).tolist() == x.tolist() and downsample(x[:2], 4)[:, 0].tolist() == [0, 1, 1, 1]
