@@ -8,7 +8,7 @@ starting at the first or the second in turn. A collapse into level ``l`` shifts
 Sketches add like binary numbers, so any tree of merges keeps the bound
 ``n / (2 * SIZE) * log2(n / SIZE)`` or less. Up to ``SIZE`` values the result is exact.
 
-Execution: records are made distinct by their id within ``BUCKETS`` buckets of ids (one shuffle), sorted by
+Execution: records are made distinct by their id within buckets of ids (one shuffle), sorted by
 group, bucket and value within a partition and summed up as they stream by, one sketch in memory at a time.
 Sketches meet in two rounds, first within ``SALT`` shares of a group and then per group, again as a stream and
 in the order of their contents, so a group that holds a third of all rows is neither collected nor a bottleneck,
@@ -21,6 +21,7 @@ rows with a null id are left out; an empty table gives no groups; further column
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -30,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinegrain.operators.compaction import input_bytes
+
 SIZE = 2048
 SALT = 32
-#: Shares of the ids that are summed up apart: the most tasks that read raw values. A parameter, as results depend on it (within the stated
-#: error): set it to the cores of the cluster where groups have many thousand values each.
-BUCKETS = 64
+#: Bytes of input per share of the ids that is summed up apart, and the least and most shares. Results depend on the shares (within the stated
+#: error), so their number follows from the data alone, not from the layout.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 8, 4096
 
 
 class Sketch:
@@ -168,8 +171,10 @@ def merge_sketches(sketches: DataFrame, keys: list[str], size: int = SIZE) -> Da
     return _sum_up(near.select(*keys, "sketch").repartition(*keys), keys, "sketch", size)
 
 
-def sketch_groups(df: DataFrame, keys: dict[str, Column], value: Column, record_id: str, size: int = SIZE, buckets: int = BUCKETS) -> DataFrame:
-    """One sketch of ``value`` per group of ``keys`` (name to expression), each ``record_id`` once."""
+def sketch_groups(df: DataFrame, keys: dict[str, Column], value: Column, record_id: str, size: int = SIZE, buckets: int | None = None) -> DataFrame:
+    """One sketch of ``value`` per group of ``keys`` (name to expression), each ``record_id`` once; ``buckets`` follow from the input's size unless given."""
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, input_bytes(df)) / BUCKET_BYTES)))))
     v = value.cast("double")
     one = (
         df.where(F.col(record_id).isNotNull() & v.isNotNull() & ~F.isnan(v))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinegrain.llm.packing import fill_containers
 from kinegrain.llm.quantiles import duration_sketches, label_of, merge_sketches, percentiles
 from kinegrain.llm.residue import residue, without_residue
-from kinegrain.llm.splits import episode_groups, split_frames
+from kinegrain.llm.splits import NOTHING, episode_groups, split_frames
 from kinegrain.llm.tokens import encode_texts
 from kinegrain.sources.tables import resolve_episodes, table
 
@@ -86,7 +86,13 @@ QUERIES = {f.__name__: f for f in (p1_percentiles, p1_label_percentiles, p1_rank
 
 # At the size of the comparison every group of a label and a day has fewer values than a sketch holds, so the percentiles are exact.
 _P = ", ".join(f"quantile_disc(duration, {q}) AS p{round(q * 100)}" for q in QUANTILES)
+_TIE = lambda c: f"nullif(CASE WHEN regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') IN {NOTHING} THEN '' ELSE regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') END, '')"
 SQL = {
+    "p6_found": f"""WITH RECURSIVE e AS (SELECT DISTINCT episode_index AS e, {_TIE("recording_id")} AS r, {_TIE("workpiece")} AS w, derived_from AS o FROM episodes WHERE episode_index IS NOT NULL),
+  star AS (SELECT e AS a, min(e) OVER (PARTITION BY r) AS b FROM e WHERE r IS NOT NULL UNION SELECT e, min(e) OVER (PARTITION BY w) FROM e WHERE w IS NOT NULL UNION SELECT e, o FROM e WHERE o >= 0),
+  tie AS (SELECT a, b FROM star WHERE a <> b UNION SELECT b, a FROM star WHERE a <> b),
+  reach(a, b) AS (SELECT a, b FROM tie UNION SELECT reach.a, tie.b FROM reach JOIN tie ON reach.b = tie.a)
+SELECT min(b) AS episode_index_a, a AS episode_index_b FROM reach WHERE a IN (SELECT e FROM e) AND b IN (SELECT e FROM e) GROUP BY a HAVING min(b) < a""",
     "p1_rank_errors": """WITH s AS (SELECT DISTINCT segment_id, lower(trim(label)) AS label, duration FROM segments WHERE segment_id IS NOT NULL AND duration IS NOT NULL AND NOT isnan(duration))
 SELECT label, count(*) AS n, CAST(0 AS BIGINT) AS violations FROM s GROUP BY 1""",
     "p1_percentiles": f"""WITH s AS (SELECT segment_id, lower(trim(label)) AS label, run_date, duration FROM segments WHERE segment_id IS NOT NULL AND duration IS NOT NULL AND NOT isnan(duration)),
