@@ -47,23 +47,26 @@ def task_profile(name: str, **overrides) -> TaskProfile:
 LABELS = ("approach", "grasp", "move", "insertion", "place", "move_to_ready")
 
 
-def as_of(frames: DataFrame, segments: DataFrame, keys: list[str], time: str, start: str, end: str) -> DataFrame:
-    """Frames with each segment that holds them, both ends included; segments of a key don't overlap but at their ends.
+def as_of(frames: DataFrame, segments: DataFrame, keys: list[str], time: str, number: str, start: str, end: str) -> DataFrame:
+    """Frames with the ``number``, ``start`` and ``end`` of each segment that holds them, both ends included.
 
-    The last segment that started, and the one before it, are carried along the time of a key: one window,
-    and no pairs of frames and segments.
+    Segments of a key don't overlap but at their ends. The last segment that started, and the one before it, are
+    carried along the time of a key: one window, and no pairs of frames and segments.
     """
-    w = Window.partitionBy(*keys)
-    own = F.struct(*[c for c in segments.columns if c not in keys])
-    s = segments.withColumn("__own", own)
-    s = s.select(*keys, F.col(start).alias("__at"), F.lit(0).alias("__kind"), F.struct(F.col("__own").alias("now"), F.lag("__own").over(w.orderBy(start, end)).alias("last")).alias("__seg"))
-    whole = F.struct(*[F.col(c) for c in frames.columns])
-    f = frames.select(*keys, F.col(time).alias("__at"), F.lit(1).alias("__kind"), whole.alias("__frame"))
+    w = Window.partitionBy(*keys).orderBy("__at", "__kind")
+    parts = (number, start, end)
+    s = segments.select(*keys, F.col(start).alias("__at"), F.lit(0).alias("__kind"), *[F.col(c).alias(f"__now_{c}") for c in parts])
+    s = s.withColumns({f"__last_{c}": F.lag(f"__now_{c}").over(w) for c in parts})
+    f = frames.withColumns({"__at": F.col(time), "__kind": F.lit(1)})
+    until = w.rowsBetween(Window.unboundedPreceding, 0)
     u = f.unionByName(s, allowMissingColumns=True)
-    carried = F.last("__seg", ignorenulls=True).over(w.orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
-    u = u.select("__frame", "__at", "__kind", carried.alias("__seg")).where("__kind = 1")
-    held = F.filter(F.array("__seg.last", "__seg.now"), lambda x: x.isNotNull() & (F.col("__at") >= x.getField(start)) & (F.col("__at") <= x.getField(end)))
-    return u.select("__frame", F.explode(held).alias("__s")).select("__frame.*", "__s.*")
+    u = u.withColumns({f"__now_{c}": F.last(f"__now_{c}", ignorenulls=True).over(until) for c in parts})
+    # of one segment, so carried along with it: a first segment has none before it
+    before = {f"__last_{c}": F.last(F.when(F.col("__kind") == 0, F.struct(f"__last_{c}")), ignorenulls=True).over(until)[f"__last_{c}"] for c in parts}
+    u = u.withColumns(before).where("__kind = 1")
+    both = F.array(*[F.struct(*[F.col(f"__{x}_{c}").alias(c) for c in parts]) for x in ("last", "now")])
+    held = F.filter(both, lambda x: (F.col("__at") >= x.getField(start)) & (F.col("__at") <= x.getField(end)))
+    return u.select(*[c for c in frames.columns], F.explode(held).alias("__s")).select(*frames.columns, "__s.*")
 
 
 def segment_facts(frames: DataFrame, segments: DataFrame, keys: list[str], p: TaskProfile) -> DataFrame:
@@ -72,7 +75,7 @@ def segment_facts(frames: DataFrame, segments: DataFrame, keys: list[str], p: Ta
     frames: keys, t, x, y, z, speed, gripper (0 to 1), alignment. Segments touch at cuts, but don't overlap;
     a frame on a cut belongs to both. Segments without frames are left out.
     """
-    j = as_of(frames.withColumnRenamed("t", "__t"), segments.select(*keys, "seg_id", "start_t", "end_t"), keys, "__t", "start_t", "end_t")
+    j = as_of(frames.withColumnRenamed("t", "__t"), segments, keys, "__t", "seg_id", "start_t", "end_t")
     closed = F.col("gripper") >= 0.5
     w = Window.partitionBy(*keys, "seg_id").orderBy("__t")
     j = j.withColumn("__turn", F.when(F.lag(closed).over(w) != closed, 1).otherwise(0))

@@ -38,7 +38,7 @@ def frame_segments(frames: DataFrame, segments: DataFrame, keys: list[str], orde
     until = F.max("end").over(Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     s = s.withColumn("__over", F.coalesce(until > F.col("start"), F.lit(False))).withColumn("__over", F.max("__over").over(Window.partitionBy(*keys)))
     pairs = f.join(s.where("__over"), keys).where((F.col("__t") >= F.col("start")) & (F.col("__t") <= F.col("end"))).select(*keys, order, "segment_id")
-    apart = as_of(f, s.where("not __over").drop("__over"), keys, "__t", "start", "end").select(*keys, order, "segment_id")
+    apart = as_of(f, s.where("not __over"), keys, "__t", "segment_id", "start", "end").select(*keys, order, "segment_id")
     hit = pairs.unionByName(apart).groupBy(*keys, order).agg(F.max("segment_id").alias("segment_id"))
     return f.select(*keys, order).join(hit, [*keys, order], "left").withColumn("segment_id", F.coalesce("segment_id", F.lit(-1)))
 

@@ -131,6 +131,15 @@ UNION ALL SELECT d, s, 'renamed', new FROM moved
 UNION ALL SELECT d, s, 'added', k FROM now WHERE NOT come AND NOT EXISTS (SELECT 1 FROM was WHERE was.s = now.s AND was.k = now.k)
 UNION ALL SELECT d, s, 'removed', k FROM was WHERE NOT gone AND NOT EXISTS (SELECT 1 FROM now WHERE was.s = now.s AND was.k = now.k)
 UNION ALL SELECT now.d, now.s, 'retyped', now.k FROM now JOIN was ON was.s = now.s AND was.n = now.k AND was.t <> now.t""",
+    "p4_verdicts": f"""WITH {_DATASETS},
+  step AS (SELECT dataset_id AS d, snapshot_id AS s, lag(snapshot_id) OVER (PARTITION BY dataset_id ORDER BY inspected_at, snapshot_id) AS p FROM good), pairs AS (SELECT * FROM step WHERE p IS NOT NULL),
+  roles AS ({" UNION ALL ".join(f"SELECT snapshot_id AS s, '{r}' AS r, lower(trim({r})) AS k FROM good" for r in _ROLES)}),
+  moved AS (SELECT DISTINCT x.s, a.k AS old, b.k AS new FROM pairs x JOIN roles a ON a.s = x.p JOIN roles b ON b.s = x.s AND b.r = a.r
+    WHERE a.k <> b.k AND NOT EXISTS (SELECT 1 FROM keys WHERE keys.s = x.s AND keys.k = a.k) AND NOT EXISTS (SELECT 1 FROM keys WHERE keys.s = x.p AND keys.k = b.k)),
+  was AS (SELECT x.s, t, coalesce(m.new, keys.k) AS n FROM pairs x JOIN keys ON keys.s = x.p LEFT JOIN moved m ON m.s = x.s AND m.old = keys.k),
+  two AS (SELECT was.t AS was, keys.t AS now, CASE WHEN was.t LIKE 'array<%' AND keys.t LIKE 'array<%' THEN [was.t[7:-2], keys.t[7:-2]] ELSE [was.t, keys.t] END AS t, was.t LIKE 'array<%' AND keys.t LIKE 'array<%' AS lists FROM was JOIN keys ON keys.s = was.s AND keys.k = was.n AND keys.t <> was.t),
+  met AS (SELECT was, now, CASE WHEN lists THEN 'array<' || ({_met("t")}) || '>' ELSE {_met("t")} END AS met FROM two)
+SELECT was, now, CASE WHEN met = now THEN 'widened' WHEN met = was THEN 'narrowed' WHEN met LIKE '%string%' THEN 'incompatible' ELSE 'merged' END AS verdict, count(*) AS n_changes FROM met GROUP BY 1, 2, 3""",
     "p4_union_schema": f"WITH {_DATASETS}, cells AS (SELECT k, t FROM keys) {_FOLD}",
     "p4_headers": f"""WITH cells AS (SELECT lower(trim(column_name)) AS k, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'BOOLEAN' THEN 'boolean'
     WHEN 'DATE' THEN 'date' WHEN 'DOUBLE[]' THEN 'array<double>' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'VARCHAR[]' THEN 'array<string>' WHEN 'INTEGER[]' THEN 'array<int>' WHEN 'BIGINT[]' THEN 'array<bigint>' ELSE CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp' ELSE lower(data_type) END END AS t
