@@ -98,7 +98,7 @@ def cluster_windows(x: np.ndarray, k: int, config: PrimitiveConfig) -> np.ndarra
             if len(own) < 2:
                 own = h[rng.choice(len(h), size=min(len(h), 2 * w), replace=False)]
             mean = own.mean(axis=0)
-            theta = graphical_lasso(np.cov(own.T, bias=True).reshape(w * d, w * d), config.lam, w, rounds=30)
+            theta = graphical_lasso(np.cov(own.T, bias=True).reshape(w * d, w * d), config.lam, w)
             r = h - mean
             cost[:, c] = 0.5 * np.einsum("ij,jk,ik->i", r, theta, r) - 0.5 * np.linalg.slogdet(theta)[1]
         new = switch_path(cost, config.beta)
