@@ -205,7 +205,8 @@ def _records(rows: DataFrame, schemas: DataFrame) -> DataFrame:
     """Distinct records with the roles' names of their snapshot and a map of their values; ``broken`` ones have none."""
     lower = F.map_from_entries(F.array_distinct(F.transform(F.map_entries("__map"), lambda e: F.struct(key_name(e.key).alias("key"), e.value.alias("value")))))
     return (
-        rows.where(F.col("row_id").isNotNull())
+        rows.select("row_id", "dataset_id", "snapshot_id", "line_no", "record_json")
+        .where(F.col("row_id").isNotNull())
         .dropDuplicates(["row_id"])
         .join(current_names(schemas), "snapshot_id", "left")
         .withColumn("__map", F.from_json("record_json", "map<string,string>"))
@@ -221,18 +222,27 @@ def consistent_rows(rows: DataFrame, schemas: DataFrame, most_keys: int = 2000)
     beyond; ``consistent_cells`` has no bound). A record is parsed once, names without regard to case.
     Values that don't fit their type are null and their keys stand in ``lost``; cut-off lines have
     ``broken`` true and null keys. Role columns (``role_...``) hold the value under whatever name the role
-    had in the record's snapshot, as JSON text. Repeated rows (row_id) count once.
+    had in the record's snapshot, as JSON text. Repeated rows (row_id) count once. A key with the name of one of
+    the other columns stands under its name after ``field_``.
     """
     keys = [(r.key_name, r.key_type) for r in union_schema(schemas).where("key_name <> ''").orderBy("key_name").limit(most_keys + 1).collect()]
     if len(keys) > most_keys:
         raise ValueError(f"more than {most_keys} keys: use consistent_cells")
     raw = lambda k: F.try_element_at("__map", F.lit(k))
     lost = [F.when(_lost(raw(k), _cast(raw(k), t), t), k) for k, t in keys]
+    taken = {"row_id", "dataset_id", "snapshot_id", "line_no", "broken", "lost", *(f"role_{r.removesuffix('_key')}" for r in ROLES)}
+    names = {}
+    for k, _ in keys:
+        name = k
+        while name in taken:
+            name = f"field_{name}"
+        taken.add(name)
+        names[k] = name
     return _records(rows, schemas).select(
         "row_id", "dataset_id", "snapshot_id", "line_no", "broken",
         F.array_compact(F.array(*lost)).alias("lost") if lost else F.array().cast("array<string>").alias("lost"),
         *[F.try_element_at("__map", F.col(r)).alias(f"role_{r.removesuffix('_key')}") for r in ROLES],
-        *[_cast(raw(k), t).alias(k) for k, t in keys],
+        *[_cast(raw(k), t).alias(names[k]) for k, t in keys],
     )
 
 

@@ -75,9 +75,17 @@ def segment_labels(spark, d):
     return rounded(labelled(spark, d).select("episode", "seg_id", "label", "confidence"), "confidence")
 
 
-@query()
+_EVIDENCE = (
+    ("np", "near pick-zone (xy)"), ("npz", "pick-zone z alignment"), ("g_open", "gripper mostly open"), ("tr > 0", "gripper transition detected"), ("g_closed", "gripper mostly closed"), ("np", "grasp near pick-zone"),
+    ("g_closed", "closed gripper while moving"), ("mv", "ee speed above move threshold"), ("NOT ni", "not yet in insertion zone"), ("ni", "near insertion zone (xy)"), ("niz", "insertion z alignment"), ("al", "pose alignment high"),
+    ("pr", "low-speed precision motion"), ("rel", "gripper release event"), ("ni", "place at goal zone"), ("NOT mv", "settled after release"), ("rs OR rel", "after release phase"), ("nr", "near ready pose"), ("mv OR nr", "return-to-ready trajectory"),
+)
+_SAID = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in _EVIDENCE) + "], lambda x: x IS NOT NULL)), '; ')"
+
+
+@query(f"WITH {LABELLED} SELECT episode, seg_id, round(start_t, 6) AS start_t, round(end_t, 6) AS end_t, {_SAID} AS evidence FROM lb")
 def segment_evidence(spark, d):
-    return labelled(spark, d)
+    return rounded(labelled(spark, d).select("episode", "seg_id", "start_t", "end_t", F.array_join("evidence", "; ").alias("evidence")), "start_t", "end_t")
 
 
 @query(f"WITH {LABELLED} SELECT episode, seg_id, label, round(confidence, 6) AS confidence FROM ls WHERE round(confidence, 6) < 0.95")

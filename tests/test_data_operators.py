@@ -294,6 +294,13 @@ def test_casts_keep_what_the_lattice_promises(spark):
         D.consistent_rows(rows, schemas, most_keys=3)
 
 
+def test_keys_and_columns_with_clashing_names(spark):
+    schemas = spark.createDataFrame([snap(1, 0, ["lost", "field_lost", "row_id", "a.b"], ["int", "int", "string", "int"])], SCHEMAS)
+    rows = spark.createDataFrame([(1, "d", 1, 0, '{"lost":3,"field_lost":4,"row_id":"x","a.b":5}', "q", "r")], "row_id bigint, dataset_id string, snapshot_id bigint, line_no int, record_json string, joint_state_key string, keys string")
+    r = D.consistent_rows(rows, schemas).collect()[0].asDict()
+    assert (r["row_id"], r["lost"], r["field_field_lost"], r["field_lost"], r["field_row_id"], r["a.b"]) == (1, [], 3, 4, "x", 5)
+
+
 def test_lattice_of_columns_is_that_of_names(spark):
     kinds = [*sorted(set(D.SPELLINGS.values())), "array<int>", "array<boolean>", "array<array<float>>", "date"]
     pairs = spark.createDataFrame([(a, b) for a in [*kinds, "null"] for b in [*kinds, "null"]], "a string, b string")
