@@ -361,3 +361,11 @@ def test_wordings_that_no_list_holds(spark):
         hit = [w for i, (k, w) in enumerate(texts) if k == kind and found[i][kind]]
         assert len(hit) >= 0.9 * len(words), set(words) - set(hit)
     assert [w for i, (k, w) in enumerate(texts) if k == "none" and any(found[i][x] for x in ("placeholder", "filler", "error", "script"))] == []
+
+
+def test_texts_of_any_length_are_read(spark):
+    """Repeated groups of a million pieces on one line neither fail nor count."""
+    texts = ["<a> " * 50000 + "please enable the " * 9, "{{" * 100000, "the page the page " * 50000, "bitte später noch " * 50000, "Re: Re: " * 50000, "test test " * 50000, "Title\n" + "a line of text\n" * 50000 + "To see this, please enable JavaScript."]
+    docs = spark.createDataFrame([(i, t, f"r{i}", "s") for i, t in enumerate(texts)], "doc_id bigint, text string, repo string, source string")
+    found = {r.doc_id: [k for k in ("placeholder", "filler", "error", "script") if r[k]] for r in R.evidence(docs).collect()}
+    assert found == {0: [], 1: [], 2: [], 3: [], 4: [], 5: ["filler"], 6: ["script"]}
