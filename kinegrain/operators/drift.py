@@ -19,13 +19,16 @@ Defined cases: repeated inspections count once (by snapshot id, the latest loade
 without keys failed and are passed over; a null type is the type ``null`` (bottom of the lattice);
 a key repeated in one header has the first of its types; equal times are ordered by snapshot id;
 nulls for roles and layouts are no names, but a layout that turns null or is no longer null differs;
-empty tables give empty results; further columns are ignored. Records with more than ``most_keys`` keys are
+empty tables give empty results; further columns are ignored; a file whose footer can't be read is told with its
+error (``read_headers``) and ends a fold of headers (``header_cells``). Records with more than ``most_keys`` keys are
 refused as columns (ValueError) and are had as cells instead, one row per value, whatever their number.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -283,26 +286,45 @@ def _arrow_name(t) -> str:
     return "timestamp" if name.startswith("timestamp") else SPELLINGS.get(small.get(name, name), small.get(name, name))
 
 
+def _locate(path: str):
+    """Arrow's file system of ``path`` and the name on it. A path is taken as it is written, as Spark lists it: a blank, ``%`` or ``#`` is part of the name."""
+    from pyarrow import fs
+
+    if path.startswith(("/", "file:")):
+        return fs.LocalFileSystem(), re.sub(r"^file:(?://[^/]*)?", "", path)
+    root, name = re.match(r"([^:/]+:(?://[^/]*)?)?(.*)", path, re.DOTALL).groups("")
+    return fs.FileSystem.from_uri(root + quote(name))
+
+
 def read_headers(files: DataFrame) -> DataFrame:
-    """path, keys, types of the parquet files in column ``path`` of ``files``, from their footers, in parallel.
+    """path, keys, types, error of the parquet files in column ``path`` of ``files``, from their footers, in parallel.
 
-    Paths may be of any file system that Arrow knows by its scheme. A file that can't be read has null keys.
+    Paths may be of any file system that Arrow knows by its scheme. A file that can't be read has null keys and
+    ``error`` tells why; it is null for all others, those without columns included.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
-        from pyarrow import fs
 
         for b in batches:
             found = []
             for p in b["path"]:
                 try:
-                    system, name = fs.FileSystem.from_uri(p.replace("file:/", "file:///", 1) if p.startswith("file:/") and not p.startswith("file://") else p)
+                    if p is None:
+                        raise ValueError("no path")
+                    system, name = _locate(p)
                     with system.open_input_file(name) as f:
                         schema = pq.read_schema(f)
-                    found.append((p, list(schema.names), [_arrow_name(t) for t in schema.types]))
-                except Exception:  # noqa: BLE001 - one broken file is told, not fatal
-                    found.append((p, None, None))
-            yield pd.DataFrame(found, columns=["path", "keys", "types"])
+                    found.append((p, list(schema.names), [_arrow_name(t) for t in schema.types], None))
+                except Exception as e:  # noqa: BLE001 - one broken file is told, not fatal
+                    found.append((p, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(found, columns=["path", "keys", "types", "error"])
+
+    return files.select("path").repartition(F.col("path")).mapInPandas(read, "path string, keys array<string>, types array<string>, error string")
+
 
-    return files.select("path").repartition(F.col("path")).mapInPandas(read, "path string, keys array<string>, types array<string>")
+def header_cells(headers: DataFrame) -> DataFrame:
+    """key_name, type: a row for every key of ``read_headers``. What is folded from them holds for all files, so one that couldn't be read ends the job with its path and error."""
+    told = F.concat_ws(" ", F.lit("header can't be read:"), F.coalesce("path", F.lit("null")), F.col("error"))
+    cells = F.when(F.col("error").isNotNull(), F.raise_error(told)).otherwise(F.arrays_zip("keys", "types"))
+    return headers.select(F.explode(cells).alias("z")).select(key_name(F.col("z.keys")).alias("key_name"), F.col("z.types").alias("type"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinegrain.operators.anomalies import implausible
 from kinegrain.operators.compaction import compact, input_bytes
-from kinegrain.operators.drift import SPELLINGS, consistent_rows, fold_types, key_name, list_files, lost_values, read_headers, schema_changes, union_schema
+from kinegrain.operators.drift import SPELLINGS, consistent_rows, fold_types, header_cells, list_files, lost_values, read_headers, schema_changes, union_schema
 from kinegrain.operators.gridfill import regular_grid
 from kinegrain.runtime import work_path
 from kinegrain.sources.tables import resolve_episodes, table
@@ -66,10 +66,8 @@ def p4_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of all tables' files, from their footers, with the least type that holds them all."""
-    files = list_files(spark, sf_dir)
-    cells = read_headers(files).select(F.explode(F.arrays_zip("keys", "types")).alias("z")).select(key_name(F.col("z.keys")).alias("key_name"), F.col("z.types").alias("type"))
-    return fold_types(cells)
+    """Keys of all tables' files, from their footers, with the least type that holds them all; fails when a footer can't be read."""
+    return fold_types(header_cells(read_headers(list_files(spark, sf_dir))))
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from kinegrain.operators import anomalies as A
 from kinegrain.operators import compaction as C
 from kinegrain.operators import drift as D
 from kinegrain.operators import gridfill as G
+from kinegrain.plans.data_queries import p4_headers
 from kinegrain.sources.tables import resolve_episodes
 
 FRAMES = "file_id bigint, episode_index bigint, frame_index bigint, robot_id string, timestamp double, `observation.state` array<double>, action array<double>, gripper array<double>"
@@ -328,6 +329,22 @@ def test_headers(spark, tmp_path):
     assert {r.key_name: r.key_type for r in D.fold_types(cells).collect()} == {"id": "bigint", "a": "string", "b": "boolean", "c": "date"}
 
 
+def test_headers_that_cannot_be_read_are_no_result(spark, tmp_path):
+    for name in ("a b", "a%41", "c#d", "e?f", "ü"):
+        (tmp_path / name).mkdir()
+        spark.range(3).selectExpr(f"id as `k{name}`").toPandas().to_parquet(str(tmp_path / name / "x.parquet"))
+    headers = D.read_headers(D.list_files(spark, str(tmp_path)))
+    assert {r.path.rsplit("/", 2)[-2]: (r["keys"], r.error) for r in headers.collect()} == {n: ([f"k{n}"], None) for n in ("a b", "a%41", "c#d", "e?f", "ü")}
+    assert p4_headers(spark, str(tmp_path)).count() == 5
+    (tmp_path / "broken.parquet").write_bytes(b"no parquet")
+    elsewhere = spark.createDataFrame([(f"file://{tmp_path}/gone.parquet",), ("nowhere://a/b.parquet",), (None,)], "path string")
+    got = {r.path and r.path.rsplit("/", 1)[-1]: (r["keys"], r.error) for r in D.read_headers(D.list_files(spark, str(tmp_path)).where("path like '%broken%'").union(elsewhere)).collect()}
+    assert got.keys() == {"broken.parquet", "gone.parquet", "b.parquet", None} and all(k is None and e for k, e in got.values())
+    assert "FileNotFoundError" in got["gone.parquet"][1] and "nowhere" in got["b.parquet"][1]
+    with pytest.raises(Exception, match="header can't be read.*broken.parquet"):
+        p4_headers(spark, str(tmp_path)).collect()
+
+
 # ---- grids -----------------------------------------------------------------------------------
 
 
