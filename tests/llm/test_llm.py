@@ -332,6 +332,24 @@ def test_subtraction_joins_nothing(spark):
     assert found(spark, ["404 - page not found\nTry again."] * 20, share=0.5, least=10) == {i: {"error"} for i in range(20)}
 
 
+def test_subtraction_decides_what_is_left(spark):
+    """A host's footer hides filler and error pages that go over lines, until it is subtracted; without other lines that recur there is no difference."""
+    foot = "\nBuilt by the night robot, run {}"
+    spread = {"filler": ["Title\nSome words to fill\nthe page", "Lorem ipsum\ndolor sit\namet elit.", "题目\n此处为占位\n文字。"], "error": ["404\nNot Found", 'Title\n{\n"code": 5,\n"title": "Quota exceeded"\n}', "Title\nLa página solicitada\nno existe"]}
+    texts = [(k, t) for k, ts in spread.items() for t in ts] + [(None, f"Add step {'a' * (i + 1)}\nThe page is\nfound again.") for i in range(6)]
+    want = {i: {k} for i, (k, _) in enumerate(texts) if k}
+    assert found(spark, [t + foot.format(i) for i, (_, t) in enumerate(texts)]) == want
+    assert found(spark, [t + foot.format(i) for i, (_, t) in enumerate(texts)], share=2) == {}
+    assert found(spark, [t for _, t in texts]) == found(spark, [t for _, t in texts], share=2) == want
+
+
+def test_recurrent_evidence_of_many_lines_is_kept(spark):
+    page = 'Title {}\n<div class="n"\nid="x"\ntitle="y"\nrole="alert">JavaScript is required'
+    assert found(spark, [page.format("a" * (i + 1)) for i in range(10)]) == {i: {"script"} for i in range(10)}
+    # what the next line begins with doesn't matter
+    assert found(spark, ["Title\nYour text here.\nText to follow in the next release"]) == {0: {"filler"}}
+
+
 HELD_OUT = {
     "error": (
         "410 Gone", "HTTP 429: Too Many Requests", "HTTP/1.1 502 Bad Gateway", "Error 451 - Unavailable For Legal Reasons", "507 Insufficient Storage", "The page you requested could not be found.", "This site can't be reached", "Sorry, the service is temporarily unavailable",
